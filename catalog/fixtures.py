@@ -39,7 +39,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     """User turns with the assistant turn that follows, joined on (conversation, turn)."""
-    turns = read_table(spark, folder, "conversations")
+    turns = spread(read_table(spark, folder, "conversations"), "conv_id", "turn")
     asked = turns.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("user_text")
     )

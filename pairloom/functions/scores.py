@@ -35,14 +35,25 @@ def bleu_tokens(c: Column) -> Column:
 
 def f_measure(matches: Column, made: Column, wanted: Column) -> Column:
     """``struct<precision, recall, fmeasure>`` from counts; 0 where there is nothing."""
-    made, wanted = F.greatest(made, F.lit(1)), F.greatest(wanted, F.lit(1))
-    precision = matches.cast("double") / made
-    recall = matches.cast("double") / wanted
-    fmeasure = F.coalesce(
-        F.try_divide(precision * recall * 2, precision + recall), F.lit(0.0)
+    shares = let(
+        matches.cast("double"),
+        lambda m: F.struct(
+            (m / F.greatest(made, F.lit(1))).alias("precision"),
+            (m / F.greatest(wanted, F.lit(1))).alias("recall"),
+        ),
     )
-    return F.struct(
-        precision.alias("precision"), recall.alias("recall"), fmeasure.alias("fmeasure")
+    return let(
+        shares,
+        lambda s: F.struct(
+            s["precision"].alias("precision"),
+            s["recall"].alias("recall"),
+            F.coalesce(
+                F.try_divide(
+                    s["precision"] * s["recall"] * 2, s["precision"] + s["recall"]
+                ),
+                F.lit(0.0),
+            ).alias("fmeasure"),
+        ),
     )
 
 
