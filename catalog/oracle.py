@@ -506,8 +506,6 @@ def oracle_sql() -> dict[str, str]:
             similarity_score FROM records""",
         "chat_records": f"""WITH {RECORDS} SELECT idx, 0 AS position, 'user' AS role, instruction AS content FROM records
             UNION ALL SELECT idx, 1, 'assistant', output FROM records""",
-        "conversation_records": """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
-            FROM conversations GROUP BY conv_id""",
         "chat_text": f"""WITH {RECORDS}
             SELECT {template(CHAT_TEMPLATE, instruction="instruction", output="output")} AS text, idx FROM records""",
         "split_exact": f"WITH {SPLIT} SELECT * FROM split_rows",

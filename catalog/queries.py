@@ -315,14 +315,6 @@ def chat_records(spark, folder):
     )
 
 
-@query
-def conversation_records(spark, folder):
-    turns = tables.read_table(spark, folder, "conversations")
-    rows = prepare.conversation_messages(turns, "conv_id", "turn", "role", "text")
-    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
-    return rows.select("conv_id", text.alias("text"))
-
-
 @query
 def chat_text(spark, folder):
     rows = prepare.training_records(fx.examples(spark, folder), "instruction", keep=("idx",))

@@ -1,12 +1,12 @@
 """Metrics of predictions against references, as long ``(section, metric, value)`` rows.
 
 Every metric is a narrow per-row score followed by one global aggregate; token lists
-never cross a shuffle.
+never cross a shuffle. ``evaluate`` takes all of them from a single pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,11 @@ from pairloom.functions.text import clipped_matches, concat_text, keyword_overla
 ROUGE_PARTS = ("precision", "recall", "fmeasure")
 
 
+def _rouge_tokens(c: str, stemmed: bool) -> Column:
+    found = rouge_tokens(F.col(c))
+    return stem_tokens(found) if stemmed else found
+
+
 def rouge_scores(
     df: DataFrame,
     prediction: str,
@@ -36,11 +41,9 @@ def rouge_scores(
     N-gram scores are native. Stemming and the LCS run as Arrow functions on token
     lists inside the same rows.
     """
-    def tokens(c: str) -> Column:
-        found = rouge_tokens(F.col(c))
-        return stem_tokens(found) if stemmed else found
-
-    rows = df.select(*keep, tokens(prediction).alias("p"), tokens(reference).alias("r"))
+    rows = df.select(
+        *keep, _rouge_tokens(prediction, stemmed).alias("p"), _rouge_tokens(reference, stemmed).alias("r")
+    )
     names = [f"rouge{n}" for n in orders]
     if longest:
         rows = rows.withColumn("common", lcs_length("p", "r"))
@@ -58,56 +61,63 @@ def mean_rouge(scores: DataFrame) -> DataFrame:
     return scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c.startswith("rouge")])
 
 
+def _bleu_parts(p: Column, r: Column, max_order: int) -> dict[str, Column]:
+    """Row lengths, clipped matches and n-gram totals of two token lists."""
+    orders = range(1, max_order + 1)
+    return {
+        "sys_len": F.size(p), "ref_len": F.size(r),
+        **{f"match_{n}": clipped_matches(ngrams(p, n), ngrams(r, n)) for n in orders},
+        **{f"total_{n}": F.greatest(F.size(p) - (n - 1), F.lit(0)) for n in orders},
+    }
+
+
 def bleu_counts(
     df: DataFrame, prediction: str, reference: str, max_order: int = BLEU_MAX_ORDER
 ) -> DataFrame:
     """One row: corpus lengths, clipped matches and n-gram totals for each order."""
-    tokens = df.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    bleu_tokens(F.col(prediction)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
-                )
-            )
-        )
-    )
-    orders = range(1, max_order + 1)
-    rows = tokens.select(
-        F.size("p").alias("sys_len"), F.size("r").alias("ref_len"),
-        *[clipped_matches(ngrams(F.col("p"), n), ngrams(F.col("r"), n)).alias(f"match_{n}") for n in orders],
-        *[F.greatest(F.size("p") - (n - 1), F.lit(0)).alias(f"total_{n}") for n in orders],
+    tokens = F.struct(
+        bleu_tokens(F.col(prediction)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
     )
+    parts = _bleu_parts(F.col("p"), F.col("r"), max_order)
+    rows = df.select(F.inline(F.array(tokens))).select(*[c.alias(n) for n, c in parts.items()])
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
 
 
-def bleu(counts: DataFrame, max_order: int = BLEU_MAX_ORDER) -> DataFrame:
-    """``bleu`` and ``bleu_precision_n`` in percent from the counts: geometric mean,
-    brevity penalty, each order without a match halving the share given to it."""
+def _bleu_values(count: Callable[[str], Column], max_order: int) -> dict[str, Column]:
+    """Score and precisions in percent from named counts: geometric mean, brevity
+    penalty, each order without a match halving the share given to it."""
+    orders = range(1, max_order + 1)
     precisions: list[Column] = []
     halvings = F.lit(0)
-    for n in range(1, max_order + 1):
-        match, total = F.col(f"match_{n}"), F.col(f"total_{n}")
+    for n in orders:
+        match, total = count(f"match_{n}"), count(f"total_{n}")
         halvings = halvings + F.when((match == 0) & (total > 0), 1).otherwise(0)
         precisions.append(
             F.when(total == 0, F.lit(0.0))
             .when(match == 0, F.lit(100.0) / (F.pow(F.lit(2.0), halvings) * total))
             .otherwise(F.lit(100.0) * match / total)
         )
-    any_match = reduce(lambda a, b: a | b, [F.col(f"match_{n}") > 0 for n in range(1, max_order + 1)])
+    made, wanted = count("sys_len"), count("ref_len")
     penalty = F.when(
-        F.col("sys_len") < F.col("ref_len"),
-        F.when(F.col("sys_len") > 0, F.exp(1 - F.col("ref_len") / F.col("sys_len"))).otherwise(0.0),
+        made < wanted, F.when(made > 0, F.exp(1 - wanted / made)).otherwise(0.0)
     ).otherwise(1.0)
+    any_match = reduce(lambda a, b: a | b, [count(f"match_{n}") > 0 for n in orders])
     logs = reduce(
         lambda a, b: a + b,
         [F.when(p > 0, F.log(p)).otherwise(F.lit(-9999999999.0)) for p in precisions],
     )
-    score = F.when(any_match, penalty * F.exp(logs / max_order)).otherwise(0.0)
-    shown = [F.when(any_match, p).otherwise(0.0) for p in precisions]
-    return counts.select(
-        score.alias("bleu"),
-        *[p.alias(f"bleu_precision_{n}") for n, p in enumerate(shown, start=1)],
-    )
+    return {
+        "bleu": F.when(any_match, penalty * F.exp(logs / max_order)).otherwise(0.0),
+        **{
+            f"bleu_precision_{n}": F.when(any_match, p).otherwise(0.0)
+            for n, p in zip(orders, precisions)
+        },
+    }
+
+
+def bleu(counts: DataFrame, max_order: int = BLEU_MAX_ORDER) -> DataFrame:
+    """``bleu`` and ``bleu_precision_n`` from the counts."""
+    return counts.select(*[c.alias(n) for n, c in _bleu_values(F.col, max_order).items()])
 
 
 def semantic_similarity(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -166,36 +176,93 @@ SIDES = (
 )
 
 
-def evaluate(results: DataFrame, vectors: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """All metrics of a result table.
+def evaluate(
+    results: DataFrame, vectors: dict[str, tuple[str, str]] | None = None, stemmed: bool = True
+) -> DataFrame:
+    """All metrics of a result table, from one scan and one aggregate.
 
-    ROUGE, BLEU and vector similarity count only if some resume reference is there; the
-    gate is a row filter on their metric rows. ``vectors`` names, per side, the two
-    vector columns. Keyword overlap is given against title plus description and, as
-    ``title_overlap``, against the title alone.
+    ROUGE, BLEU and vector similarity count only if some resume reference is there.
+    ``vectors`` names, per side, the two vector columns. Keyword overlap is given
+    against title plus description and, as ``title_overlap``, against the title alone.
     """
-    gated: list[DataFrame] = []
+    vectors = vectors or {}
+    tokens, longest, scores = [], [], []
+    # (section, metric, aggregate of a score column, needs references)
+    metrics: list[tuple[str, str, Column, bool]] = []
     for side, made, truth in SIDES:
-        gated.append(as_metrics(mean_rouge(rouge_scores(results, made, truth)), f"rouge_{side}"))
-        gated.append(as_metrics(bleu(bleu_counts(results, made, truth)), f"bleu_{side}"))
-        if vectors and side in vectors:
-            gated.append(
-                as_metrics(semantic_similarity(results, *vectors[side]), f"semantic_similarity_{side}")
+        tokens += [
+            _rouge_tokens(made, stemmed).alias(f"{side}_p"), _rouge_tokens(truth, stemmed).alias(f"{side}_r"),
+            F.struct(
+                bleu_tokens(F.col(made)).alias("p"), bleu_tokens(F.col(truth)).alias("r")
+            ).alias(f"{side}_bleu"),
+            F.length(made).alias(f"{side}_length"),
+        ]
+        p, r = F.col(f"{side}_p"), F.col(f"{side}_r")
+        longest.append(lcs_length(p, r).alias(f"{side}_common"))
+        rouge = {
+            "rouge1": rouge_n(p, r, 1), "rouge2": rouge_n(p, r, 2),
+            "rougeL": f_measure(F.col(f"{side}_common"), F.size(p), F.size(r)),
+        }
+        scores += [c.alias(f"{side}_{name}") for name, c in rouge.items()]
+        metrics += [
+            (f"rouge_{side}", f"{name}_{part}", F.avg(f"{side}_{name}.{part}"), True)
+            for name in rouge for part in ROUGE_PARTS
+        ]
+        parts = _bleu_parts(F.col(f"{side}_bleu.p"), F.col(f"{side}_bleu.r"), BLEU_MAX_ORDER)
+        scores += [c.alias(f"{side}_{name}") for name, c in parts.items()]
+
+        def total(name: str, side: str = side) -> Column:
+            return F.coalesce(F.sum(f"{side}_{name}"), F.lit(0))
+
+        metrics += [
+            (f"bleu_{side}", name, c, True) for name, c in _bleu_values(total, BLEU_MAX_ORDER).items()
+        ]
+        scores.append(F.col(f"{side}_length"))
+        metrics += _spread_metrics(f"length_stats_{side}", "length", f"{side}_length", False)
+        metrics += [
+            (f"length_stats_{side}", f"length_{name}", f(f"{side}_length"), False)
+            for name, f in (("min", F.min), ("max", F.max))
+        ]
+        if side in vectors:
+            tokens.append(cosine(*[F.col(v) for v in vectors[side]]).alias(f"{side}_cosine"))
+            scores.append(F.col(f"{side}_cosine"))
+            metrics += _spread_metrics(
+                f"semantic_similarity_{side}", "semantic_similarity", f"{side}_cosine", True
             )
-    open_rows = [as_metrics(length_stats(results, made), f"length_stats_{side}") for side, made, _ in SIDES]
-    open_rows.append(
-        as_metrics(overlap_stats(results, "tailored_resume", target_text()), "keyword_overlap")
+    prediction, truth = SIDES[0][1:]
+    for name, target in (
+        ("keyword_overlap", target_text()), ("title_overlap", concat_text(F.col("job_title"))),
+    ):
+        overlap = keyword_overlap(F.coalesce(prediction, F.lit("")), target, OVERLAP_STOP_WORDS)
+        tokens.append(overlap.alias(name))
+        scores.append(F.col(name))
+        metrics += _spread_metrics("keyword_overlap", name, name, False)
+    referenced = (F.coalesce(truth, F.lit("")) != "").alias("referenced")
+
+    rows = results.select(*tokens, referenced)
+    rows = rows.select("*", *longest)
+    # generators, here and below: each value is worked out once, whatever uses it
+    rows = rows.select("referenced", F.inline(F.array(F.struct(*scores))))
+    one = rows.agg(
+        F.coalesce(F.bool_or("referenced"), F.lit(False)).alias("gate"),
+        *[c.cast("double").alias(f"m{i}") for i, (_, _, c, _) in enumerate(metrics)],
     )
-    open_rows.append(
-        as_metrics(
-            overlap_stats(results, "tailored_resume", concat_text(F.col("job_title")), prefix="title_overlap"),
-            "keyword_overlap",
+    entries = F.array(*[
+        F.struct(
+            F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+            F.col(f"m{i}").alias("value"), (F.col("gate") | F.lit(not gated)).alias("shown"),
         )
-    )
-    gate = has_ground_truth(results).scalar()
-    with_reference = reduce(DataFrame.unionByName, gated).withColumn("_gate", gate)
-    without = reduce(DataFrame.unionByName, open_rows)
-    return with_reference.filter("_gate").drop("_gate").unionByName(without)
+        for i, (section, metric, _, gated) in enumerate(metrics)
+    ])
+    return one.select(F.inline(entries)).filter("shown").drop("shown")
+
+
+def _spread_metrics(section: str, prefix: str, column: str, gated: bool) -> list:
+    """Mean and population deviation of a score column."""
+    return [
+        (section, f"{prefix}_mean", F.avg(column), gated),
+        (section, f"{prefix}_std", F.stddev_pop(column), gated),
+    ]
 
 
 def compare(tuned: DataFrame, baseline: DataFrame, section: str = "rouge_resume") -> DataFrame:

@@ -42,18 +42,6 @@ def chat_texts(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return records.select(chat_text(F.col("instruction"), F.col("output")).alias("text"), *keep)
 
 
-def conversation_messages(turns: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """One multi-turn record per conversation. A conversation is one record in the
-    output, so its turns are bounded by what one record may hold."""
-    message = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
-    return turns.groupBy(key).agg(
-        F.transform(
-            F.sort_array(F.collect_list(message)),
-            lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
-        ).alias("messages")
-    )
-
-
 def split_counts(split_df: DataFrame, total: Column | None = None) -> DataFrame:
     """Rows per split and their percentage."""
     counts = split_df.groupBy("split").agg(F.count(F.lit(1)).alias("examples"))

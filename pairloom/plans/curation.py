@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from pairloom.fixed_values import BATCH_SIZE, SEED, SPLIT_RATIOS
 from pairloom.operators import generate, quality
 from pairloom.operators.prepare import training_records
 from pairloom.operators.rank import hash_to_long, seeded_hash, split_exact
-from pairloom.session import new_folder
+from pairloom.session import stored
 from pairloom.sources import tables
 
 
@@ -27,12 +27,10 @@ def write_requests(
 
 
 def curate(
-    spark: SparkSession, examples: DataFrame, order: str, valid_path: str, report_path: str
+    examples: DataFrame, order: str, valid_path: str, report_path: str
 ) -> DataFrame:
     """Label once, store, then write the valid rows and the report from the stored labels."""
-    stored = new_folder(spark, "labelled")
-    quality.labelled(examples).write.parquet(stored)
-    labelled = spark.read.parquet(stored)
+    labelled = stored(quality.labelled(examples), "labelled")
     tables.write_jsonl(quality.valid(labelled), valid_path)
     tables.write_report(quality.report(labelled, order), report_path)
     return quality.valid(labelled)

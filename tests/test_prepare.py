@@ -40,13 +40,6 @@ def test_chat_texts(examples):
     assert text == f"<|user|>\n{row['instruction']}<|end|>\n<|assistant|>\n{row['output']}<|end|>"
 
 
-def test_conversations_keep_turn_order(spark):
-    turns = spark.createDataFrame([(1, 2, "user", "c"), (1, 0, "user", "a"), (1, 1, "assistant", "b")],
-                                  "conv_id int, turn int, role string, text string").repartition(3)
-    row = prepare.conversation_messages(turns, "conv_id", "turn", "role", "text").first()
-    assert [m["content"] for m in row["messages"]] == ["a", "b", "c"]
-
-
 def test_length_stats(examples):
     row = prepare.length_stats(examples).first()
     lengths = [len(r["instruction"]) for r in prepare.training_records(examples).collect()]
@@ -74,7 +67,7 @@ def test_prepare_files(spark, examples, tmp_path):
 
 
 def test_curate_writes_valid_rows_and_report(spark, examples, tmp_path):
-    valid = curate(spark, examples, "idx", str(tmp_path / "valid"), str(tmp_path / "report"))
+    valid = curate(examples, "idx", str(tmp_path / "valid"), str(tmp_path / "report"))
     assert valid.count() == 0
     report = tables.read_jsonl(spark, str(tmp_path / "report"), "total_examples bigint, failure_reasons map<string, bigint>").first()
     assert report["total_examples"] == 50
