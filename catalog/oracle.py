@@ -304,13 +304,12 @@ split_rows AS (
 # ------------------------------------------------------------------ evaluation
 
 
-def rouge(source: str, name: str) -> str:
+def rouge(source: str, name: str, made: str = "tailored_resume", truth: str = "ground_truth_resume") -> str:
     """CTEs with per-row scores for n = 1, 2 on plain tokens."""
     tokens = "regexp_extract_all(lower({}), '[a-z0-9]+')"
     bi = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
     ctes = f""",
-{name}_t AS (SELECT idx, {tokens.format("coalesce(tailored_resume, '')")} AS p1,
-        {tokens.format("coalesce(ground_truth_resume, '')")} AS r1 FROM {source}),
+{name}_t AS (SELECT idx, {tokens.format(blank(made))} AS p1, {tokens.format(blank(truth))} AS r1 FROM {source}),
 {name}_g AS (SELECT idx, p1, r1, {bi.format("p1")} AS p2, {bi.format("r1")} AS r2 FROM {name}_t)"""
     for n in (1, 2):
         ctes += f""",
@@ -322,16 +321,40 @@ def rouge(source: str, name: str) -> str:
 {name}_s{n} AS (
   SELECT idx, coalesce(m, 0) / greatest(len(p{n}), 1) AS p, coalesce(m, 0) / greatest(len(r{n}), 1) AS r
   FROM {name}_g LEFT JOIN {name}_m{n} USING (idx))"""
-    columns = ", ".join(
-        f"s{n}.p AS rouge{n}_precision, s{n}.r AS rouge{n}_recall, "
-        f"CASE WHEN s{n}.p + s{n}.r > 0 THEN 2 * s{n}.p * s{n}.r / (s{n}.p + s{n}.r) ELSE 0 END AS rouge{n}_fmeasure"
-        for n in (1, 2)
-    )
+    columns = ", ".join(_f_columns(f"s{n}", f"rouge{n}") for n in (1, 2))
     return ctes + f""",
 {name} AS (SELECT s1.idx, {columns} FROM {name}_s1 s1 JOIN {name}_s2 s2 USING (idx))"""
 
 
-ROUGE_COLUMNS = [f"rouge{n}_{p}" for n in (1, 2) for p in ("precision", "recall", "fmeasure")]
+def _f_columns(table: str, name: str) -> str:
+    p, r = f"{table}.p", f"{table}.r"
+    return (
+        f"{p} AS {name}_precision, {r} AS {name}_recall, "
+        f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE 0 END AS {name}_fmeasure"
+    )
+
+
+def rouge_l(source: str, name: str, made: str = "tailored_resume", truth: str = "ground_truth_resume") -> str:
+    """CTEs for the longest common subsequence: one table row of the dynamic programme
+    per step. A row only grows to the right, so it is a running maximum."""
+    tokens = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+    return f""",
+{name}_t AS (SELECT idx, {tokens.format(blank(made))} AS p, {tokens.format(blank(truth))} AS r FROM {source}),
+{name}_dp AS (
+  SELECT idx, 0 AS step, j, 0::BIGINT AS best FROM {name}_t, unnest(range(1, len(r) + 1)) AS u(j)
+  UNION ALL
+  SELECT idx, step + 1, j, max(grown) OVER (PARTITION BY idx ORDER BY j) FROM (
+    SELECT idx, step, j, CASE WHEN p[step + 1] = r[j]
+      THEN coalesce(lag(best) OVER (PARTITION BY idx ORDER BY j), 0) + 1 ELSE best END AS grown
+    FROM {name}_dp JOIN {name}_t USING (idx) WHERE step < len(p))),
+{name}_s AS (
+  SELECT idx, coalesce(m, 0) / greatest(len(p), 1) AS p, coalesce(m, 0) / greatest(len(r), 1) AS r
+  FROM {name}_t LEFT JOIN (SELECT idx, max(best) AS m FROM {name}_dp GROUP BY idx) USING (idx)),
+{name} AS (SELECT s.idx, {_f_columns("s", "rougeL")} FROM {name}_s s)"""
+
+
+PARTS = ("precision", "recall", "fmeasure")
+ROUGE_COLUMNS = [f"rouge{n}_{p}" for n in (1, 2) for p in PARTS]
 
 
 def _13a(c: str) -> str:
@@ -354,24 +377,35 @@ def _ngram(c: str, n: int) -> str:
     return f"list_transform(range(1, len({c}) - {n - 2}), lambda i: {joined})"
 
 
-BLEU = RESULTS + f""",
-bt AS (SELECT idx, {_13a("tailored_resume")} AS p, {_13a("ground_truth_resume")} AS r FROM results)
-""" + "".join(
-    f""",
-bm{n} AS (
+def bleu_ctes(name: str, made: str, truth: str) -> str:
+    """CTEs with the corpus counts, one row."""
+    ctes = f""",
+{name}_t AS (SELECT idx, {_13a(made)} AS p, {_13a(truth)} AS r FROM results)"""
+    for n in range(1, 5):
+        ctes += f""",
+{name}_m{n} AS (
   SELECT coalesce(sum(least(cp, cr)), 0) AS m FROM
-    (SELECT idx, g, count(*) AS cp FROM (SELECT idx, unnest({_ngram("p", n)}) AS g FROM bt) GROUP BY ALL)
-    JOIN (SELECT idx, g, count(*) AS cr FROM (SELECT idx, unnest({_ngram("r", n)}) AS g FROM bt) GROUP BY ALL)
+    (SELECT idx, g, count(*) AS cp FROM (SELECT idx, unnest({_ngram("p", n)}) AS g FROM {name}_t) GROUP BY ALL)
+    JOIN (SELECT idx, g, count(*) AS cr FROM (SELECT idx, unnest({_ngram("r", n)}) AS g FROM {name}_t) GROUP BY ALL)
     USING (idx, g))"""
-    for n in range(1, 5)
-) + """,
-bleu_counts AS (
-  SELECT CAST(sum(len(p)) AS BIGINT) AS sys_len, CAST(sum(len(r)) AS BIGINT) AS ref_len,
-""" + ",\n".join(
-    f"    CAST((SELECT m FROM bm{n}) AS BIGINT) AS match_{n}, "
-    f"CAST(sum(greatest(len(p) - {n - 1}, 0)) AS BIGINT) AS total_{n}"
-    for n in range(1, 5)
-) + "\n  FROM bt)"
+    orders = ", ".join(
+        f"CAST((SELECT m FROM {name}_m{n}) AS BIGINT) AS match_{n}, "
+        f"CAST(sum(greatest(len(p) - {n - 1}, 0)) AS BIGINT) AS total_{n}"
+        for n in range(1, 5)
+    )
+    return ctes + f""",
+{name} AS (
+  SELECT CAST(sum(len(p)) AS BIGINT) AS sys_len, CAST(sum(len(r)) AS BIGINT) AS ref_len, {orders}
+  FROM {name}_t)"""
+
+
+def bleu_row(name: str) -> str:
+    """Score and precisions from the counts."""
+    return f"""SELECT CASE WHEN sys_len < ref_len THEN exp(1 - ref_len / sys_len) ELSE 1 END
+      * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) AS bleu,
+      {", ".join(f"p{n} AS bleu_precision_{n}" for n in range(1, 5))}
+    FROM (SELECT *, {", ".join(f"{_PRECISION[n]} AS p{n}" for n in range(1, 5))} FROM {name})"""
+
 
 # Each order without a match has halved the share of the orders from there on.
 _HALVED = {
@@ -383,14 +417,18 @@ _PRECISION = {
     for n in range(1, 5)
 }
 
-OVERLAP = RESULTS + f""",
-target_sets AS (
-  SELECT idx, {word_set("coalesce(job_title, '') || ' ' || coalesce(job_description, '')", OVERLAP_STOP_WORDS)} AS w,
-         {word_set("tailored_resume", OVERLAP_STOP_WORDS)} AS p FROM results),
-overlap_rows AS (
+def overlap_ctes(name: str, target: str) -> str:
+    return f""",
+{name}_w AS (SELECT idx, {word_set(target, OVERLAP_STOP_WORDS)} AS w,
+  {word_set("tailored_resume", OVERLAP_STOP_WORDS)} AS p FROM results),
+{name} AS (
   SELECT idx, CASE WHEN len(w) > 0 THEN
-    len(list_filter(w, lambda x: list_contains(p, x))) / len(w) END AS overlap FROM target_sets)
-"""
+    len(list_filter(w, lambda x: list_contains(p, x))) / len(w) END AS overlap FROM {name}_w)"""
+
+
+TITLE = "coalesce(job_title, '')"
+TARGET = TITLE + " || ' ' || coalesce(job_description, '')"
+OVERLAP = RESULTS + overlap_ctes("overlap_rows", TARGET)
 
 VECTORS = """
 vectors AS (
@@ -414,6 +452,63 @@ BASELINE = """,
 baseline AS (SELECT idx, coalesce(job_description, '') AS tailored_resume, ground_truth_resume FROM results)"""
 
 
+def evaluate_plain() -> str:
+    """Every metric of the run as rows, from the pieces above."""
+    sides = (("resume", "tailored_resume", "ground_truth_resume"),
+             ("cover_letter", "cover_letter", "ground_truth_cover_letter"))
+    ctes, rows = "", []
+    for side, made, truth in sides:
+        ctes += rouge("results", f"{side}_n", made, truth) + rouge_l("results", f"{side}_l", made, truth)
+        ctes += bleu_ctes(f"{side}_b", made, truth) + f", {side}_v AS ({bleu_row(side + '_b')})"
+        for table, columns in (
+            (f"{side}_n", ROUGE_COLUMNS), (f"{side}_l", [f"rougeL_{p}" for p in PARTS]),
+        ):
+            rows += [f"SELECT 'rouge_{side}' AS section, '{c}' AS metric, avg({c}) AS value FROM {table}" for c in columns]
+        rows += [
+            f"SELECT 'bleu_{side}', '{c}', {c} FROM {side}_v"
+            for c in ["bleu"] + [f"bleu_precision_{n}" for n in range(1, 5)]
+        ]
+        rows += [
+            f"SELECT 'length_stats_{side}', 'length_{n}', {f}(length({made})) FROM results"
+            for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))
+        ]
+    for name, target in (("keyword_overlap", TARGET), ("title_overlap", TITLE)):
+        ctes += overlap_ctes(f"{name}_o", target)
+        rows += [
+            f"SELECT 'keyword_overlap', '{name}_{n}', {f}(overlap) FROM {name}_o"
+            for n, f in (("mean", "avg"), ("std", "stddev_pop"))
+        ]
+    return f"""WITH RECURSIVE {RESULTS} {ctes}
+        SELECT section, metric, round(value, 6) AS value FROM ({" UNION ALL ".join(rows)})"""
+
+
+def _after(marker: str) -> str:
+    return strip(f"string_split(line, '{marker}')[2]")
+
+
+# The line reader as windows: the open section of a line is the last section marker
+# before it, and a description starts anew at its last marker.
+INSTRUCTION_PARSE = f"""WITH {RECORDS},
+lines AS (
+  SELECT idx, i, string_split(instruction, chr(10))[i] AS line
+  FROM records, unnest(range(1, len(string_split(instruction, chr(10))) + 1)) AS u(i)),
+kinds AS (
+  SELECT *, CASE WHEN contains(line, 'RESUME:') THEN 'R' WHEN contains(line, 'Title:') THEN 'T'
+    WHEN contains(line, 'Description:') THEN 'D' WHEN contains(line, 'Skills:') THEN 'S' ELSE 'N' END AS kind
+  FROM lines),
+open_lines AS (
+  SELECT *, last_value(CASE WHEN kind IN ('R', 'D') THEN kind END IGNORE NULLS)
+      OVER (PARTITION BY idx ORDER BY i ROWS UNBOUNDED PRECEDING) AS section,
+    max(CASE WHEN kind = 'D' THEN i END) OVER (PARTITION BY idx) AS last_d FROM kinds)
+SELECT idx,
+  {strip("coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE kind = 'N' AND section = 'R'), '')")} AS resume,
+  coalesce(arg_max({_after("Title:")}, i) FILTER (WHERE kind = 'T'), '') AS title,
+  {strip("coalesce(max(" + _after("Description:") + ") FILTER (WHERE i = last_d), '') || "
+         "coalesce(string_agg(line, ' ' ORDER BY i) FILTER (WHERE kind = 'N' AND section = 'D' AND i > last_d), '')")} AS description,
+  coalesce(arg_max({_after("Skills:")}, i) FILTER (WHERE kind = 'S'), '') AS skills
+FROM open_lines GROUP BY idx"""
+
+
 def oracle_sql() -> dict[str, str]:
     improvements = " UNION ALL ".join(
         f"""SELECT 'rouge{n}_fmeasure' AS metric, round(a, 6) AS fine_tuned, round(b, 6) AS baseline,
@@ -533,12 +628,15 @@ def oracle_sql() -> dict[str, str]:
             {", ".join(f"round({c}, 6) AS {c}" for c in ROUGE_COLUMNS)} FROM tuned""",
         "rouge_mean": f"""WITH {RESULTS} {rouge("results", "tuned")} SELECT
             {", ".join(f"round(avg({c}), 6) AS {c}" for c in ROUGE_COLUMNS)} FROM tuned""",
-        "bleu_counts": f"WITH {BLEU} SELECT * FROM bleu_counts",
-        "bleu_score": f"""WITH {BLEU}, pr AS (SELECT *,
-              {", ".join(f"{_PRECISION[n]} AS p{n}" for n in range(1, 5))} FROM bleu_counts)
-            SELECT round(CASE WHEN sys_len < ref_len THEN exp(1 - ref_len / sys_len) ELSE 1 END
-              * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4), 6) AS bleu,
-              {", ".join(f"round(p{n}, 6) AS bleu_precision_{n}" for n in range(1, 5))} FROM pr""",
+        "rouge_l_plain": f"""WITH RECURSIVE {RESULTS} {rouge_l("results", "longest")} SELECT idx,
+            {", ".join(f"round(rougeL_{p}, 6) AS rougeL_{p}" for p in PARTS)} FROM longest""",
+        "bleu_counts": f"""WITH {RESULTS} {bleu_ctes("b", "tailored_resume", "ground_truth_resume")}
+            SELECT * FROM b""",
+        "bleu_score": f"""WITH {RESULTS} {bleu_ctes("b", "tailored_resume", "ground_truth_resume")}
+            SELECT round(bleu, 6) AS bleu, {", ".join(f"round(bleu_precision_{n}, 6) AS bleu_precision_{n}" for n in range(1, 5))}
+            FROM ({bleu_row("b")})""",
+        "evaluate_plain": evaluate_plain(),
+        "instruction_parse": INSTRUCTION_PARSE,
         "embedding_cosine": f"WITH {VECTORS} SELECT vec_id, round(cosine, 6) AS cosine FROM cosines",
         "embedding_similarity": f"""WITH {VECTORS} SELECT round(avg(cosine), 6) AS semantic_similarity_mean,
             round(stddev_pop(cosine), 6) AS semantic_similarity_std FROM cosines""",

@@ -400,6 +400,16 @@ def rouge_l(spark, folder):
     return scores.select("idx", *[F.round(c, 6).alias(c) for c in scores.columns if c != "idx"])
 
 
+@query
+def rouge_l_plain(spark, folder):
+    """ROUGE-L on plain tokens."""
+    scores = evaluate.rouge_scores(
+        fx.results(spark, folder), "tailored_resume", "ground_truth_resume", ("idx",),
+        orders=(), stemmed=False,
+    )
+    return scores.select("idx", *[F.round(c, 6).alias(c) for c in scores.columns if c != "idx"])
+
+
 @query
 def rouge_mean(spark, folder):
     scores = evaluate.rouge_scores(
@@ -479,6 +489,13 @@ def evaluate_run(spark, folder):
     return rows.withColumn("value", F.round("value", 6))
 
 
+@query
+def evaluate_plain(spark, folder):
+    """All metrics of the run with unstemmed ROUGE."""
+    rows = evaluate.evaluate(fx.results(spark, folder), stemmed=False)
+    return rows.withColumn("value", F.round("value", 6))
+
+
 def _plain_rouge(results):
     scores = evaluate.rouge_scores(
         results, "tailored_resume", "ground_truth_resume", longest=False, stemmed=False
