@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from pairloom.functions.text import clipped_matches, let, ngrams
+from pairloom.functions.text import let
 
 
 def rouge_tokens(c: Column) -> Column:
@@ -57,15 +57,6 @@ def f_measure(matches: Column, made: Column, wanted: Column) -> Column:
     )
 
 
-def rouge_n(prediction: Column, reference: Column, n: int) -> Column:
-    """Clipped n-gram overlap of two token lists."""
-    grams = F.struct(ngrams(prediction, n).alias("p"), ngrams(reference, n).alias("r"))
-    return let(
-        grams,
-        lambda g: f_measure(clipped_matches(g["p"], g["r"]), F.size(g["p"]), F.size(g["r"])),
-    )
-
-
 def lcs(a: list, b: list) -> int:
     """Longest common subsequence, one whole-row bit operation per token of ``a``
     (Hyyro 2004): a zero bit of ``row`` marks one step of the subsequence."""

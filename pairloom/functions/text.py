@@ -17,6 +17,8 @@ SPACE = (
     r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# The same without the plain space.
+ODD_SPACE = SPACE.replace(r"\x20", r"\x1f")
 WORD_CHAR = r"[\p{L}\p{N}_]"
 ENTITY = r"&[a-z]+;"
 
@@ -27,7 +29,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def literals(words: Iterable[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    """Array literal of words without tabs. Built as one text that Catalyst splits once,
+    at planning; hundreds of single literals would make the plan slow to build."""
+    words = list(words)
+    if not words:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\t".join(words)), "\t")
 
 
 def strip(c: Column) -> Column:
@@ -37,9 +44,12 @@ def strip(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Null to empty, whitespace runs to one space, ``&name;`` to a space, trim.
 
-    Entities go after the collapse, so double spaces can remain inside.
+    Entities go after the collapse, so double spaces can remain inside. The pattern
+    passes over single plain spaces, which are nearly all of them and stay as they are.
     """
-    collapsed = F.regexp_replace(F.coalesce(c, F.lit("")), rf"{SPACE}+", " ")
+    collapsed = F.regexp_replace(
+        F.coalesce(c, F.lit("")), rf"{ODD_SPACE}{SPACE}*| {SPACE}+", " "
+    )
     return F.trim(F.regexp_replace(collapsed, ENTITY, " "))
 
 
@@ -54,15 +64,11 @@ def longer_than(c: Column, chars: int) -> Column:
 
 def keyword_hits(c: Column, words: Iterable[str]) -> Column:
     """How many distinct words occur as substrings of the lower-cased text."""
-    distinct = list(dict.fromkeys(words))
-
-    def count(lowered: Column) -> Column:
-        total = F.lit(0)
-        for word in distinct:
-            total = total + F.contains(lowered, F.lit(word)).cast("int")
-        return total
-
-    return let(F.lower(c), count)
+    distinct = literals(dict.fromkeys(words))
+    return let(
+        F.lower(c),
+        lambda lowered: F.size(F.filter(distinct, lambda w: F.contains(lowered, w))),
+    )
 
 
 def mentions_any(c: Column, words: Iterable[str]) -> Column:
@@ -185,8 +191,16 @@ def numbered(tokens: Column) -> Column:
     )
 
 
-def clipped_matches(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+def clipped_matches(pairs: list[tuple[Column, Column]]) -> Column:
+    """``array<int>``: for each pair of token lists the size of the multiset intersection."""
+    sides = F.array(*[F.array(a, b) for a, b in pairs])
+    return F.transform(
+        sides,
+        lambda pair: let(
+            F.transform(pair, numbered),
+            lambda n: F.size(F.array_intersect(F.get(n, F.lit(0)), F.get(n, F.lit(1)))),
+        ),
+    )
 
 
 def render(template: str, **fields: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairloom.fixed_values import BLEU_MAX_ORDER, OVERLAP_STOP_WORDS
 from pairloom.functions.scores import (
-    bleu_tokens, cosine, f_measure, lcs_length, rouge_n, rouge_tokens,
+    bleu_tokens, cosine, f_measure, lcs_length, rouge_tokens,
 )
 from pairloom.functions.stem import stem_tokens
 from pairloom.functions.text import clipped_matches, concat_text, keyword_overlap, ngrams
@@ -41,34 +41,39 @@ def rouge_scores(
     N-gram scores are native. Stemming and the LCS run as Arrow functions on token
     lists inside the same rows.
     """
+    orders = list(orders)
     rows = df.select(
         *keep, _rouge_tokens(prediction, stemmed).alias("p"), _rouge_tokens(reference, stemmed).alias("r")
     )
-    names = [f"rouge{n}" for n in orders]
-    if longest:
-        rows = rows.withColumn("common", lcs_length("p", "r"))
-    scores = [rouge_n(F.col("p"), F.col("r"), n).alias(f"rouge{n}") for n in orders]
+    names, columns = [f"rouge{n}" for n in orders], [*keep, "p", "r"]
     if longest:
         names.append("rougeL")
-        scores.append(f_measure(F.col("common"), F.size("p"), F.size("r")).alias("rougeL"))
-    scored = rows.select(*keep, F.inline(F.array(F.struct(*scores))))
+        rows, columns = rows.withColumn("common", lcs_length("p", "r")), [*columns, "common"]
+    p, r = F.col("p"), F.col("r")
+    if orders:
+        # as a generator, here and below: worked out once, whatever uses it
+        counts = clipped_matches([(ngrams(p, n), ngrams(r, n)) for n in orders])
+        rows = rows.select(*columns, F.explode(F.array(counts)).alias("matches"))
+    scores = [
+        f_measure(F.get("matches", F.lit(i)), _grams(p, n), _grams(r, n)) for i, n in enumerate(orders)
+    ]
+    if longest:
+        scores.append(f_measure(F.col("common"), F.size(p), F.size(r)))
+    scored = rows.select(
+        *keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(names, scores)])))
+    )
     return scored.select(
         *keep, *[F.col(f"{n}.{part}").alias(f"{n}_{part}") for n in names for part in ROUGE_PARTS]
     )
 
 
-def mean_rouge(scores: DataFrame) -> DataFrame:
-    return scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c.startswith("rouge")])
+def _grams(tokens: Column, n: int) -> Column:
+    """How many n-grams a token list has."""
+    return F.greatest(F.size(tokens) - (n - 1), F.lit(0))
 
 
-def _bleu_parts(p: Column, r: Column, max_order: int) -> dict[str, Column]:
-    """Row lengths, clipped matches and n-gram totals of two token lists."""
-    orders = range(1, max_order + 1)
-    return {
-        "sys_len": F.size(p), "ref_len": F.size(r),
-        **{f"match_{n}": clipped_matches(ngrams(p, n), ngrams(r, n)) for n in orders},
-        **{f"total_{n}": F.greatest(F.size(p) - (n - 1), F.lit(0)) for n in orders},
-    }
+def mean_rouge(scores: DataFrame) -> DataFrame:
+    return scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c.startswith("rouge")])
 
 
 def bleu_counts(
@@ -78,9 +83,25 @@ def bleu_counts(
     tokens = F.struct(
         bleu_tokens(F.col(prediction)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
     )
-    parts = _bleu_parts(F.col("p"), F.col("r"), max_order)
-    rows = df.select(F.inline(F.array(tokens))).select(*[c.alias(n) for n, c in parts.items()])
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    p, r, orders = F.col("p"), F.col("r"), range(1, max_order + 1)
+    counts = clipped_matches([(ngrams(p, n), ngrams(r, n)) for n in orders])
+    rows = df.select(F.inline(F.array(tokens))).select(
+        "p", "r", F.explode(F.array(counts)).alias("matches")
+    )
+    parts = _bleu_parts(p, r, lambda n: F.get("matches", F.lit(n - 1)), max_order)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in parts.items()])
+
+
+def _bleu_parts(
+    p: Column, r: Column, match: Callable[[int], Column], max_order: int
+) -> dict[str, Column]:
+    """Row lengths, clipped matches and n-gram totals of two token lists."""
+    orders = range(1, max_order + 1)
+    return {
+        "sys_len": F.size(p), "ref_len": F.size(r),
+        **{f"match_{n}": match(n) for n in orders},
+        **{f"total_{n}": _grams(p, n) for n in orders},
+    }
 
 
 def _bleu_values(count: Callable[[str], Column], max_order: int) -> dict[str, Column]:
@@ -186,7 +207,7 @@ def evaluate(
     against title plus description and, as ``title_overlap``, against the title alone.
     """
     vectors = vectors or {}
-    tokens, longest, scores = [], [], []
+    tokens, longest, scores, pairs = [], [], [], []
     # (section, metric, aggregate of a score column, needs references)
     metrics: list[tuple[str, str, Column, bool]] = []
     for side, made, truth in SIDES:
@@ -199,16 +220,23 @@ def evaluate(
         ]
         p, r = F.col(f"{side}_p"), F.col(f"{side}_r")
         longest.append(lcs_length(p, r).alias(f"{side}_common"))
-        rouge = {
-            "rouge1": rouge_n(p, r, 1), "rouge2": rouge_n(p, r, 2),
-            "rougeL": f_measure(F.col(f"{side}_common"), F.size(p), F.size(r)),
-        }
+        rouge = {}
+        for n in (1, 2):
+            rouge[f"rouge{n}"] = f_measure(
+                F.get("matches", F.lit(len(pairs))), _grams(p, n), _grams(r, n)
+            )
+            pairs.append((ngrams(p, n), ngrams(r, n)))
+        rouge["rougeL"] = f_measure(F.col(f"{side}_common"), F.size(p), F.size(r))
         scores += [c.alias(f"{side}_{name}") for name, c in rouge.items()]
         metrics += [
             (f"rouge_{side}", f"{name}_{part}", F.avg(f"{side}_{name}.{part}"), True)
             for name in rouge for part in ROUGE_PARTS
         ]
-        parts = _bleu_parts(F.col(f"{side}_bleu.p"), F.col(f"{side}_bleu.r"), BLEU_MAX_ORDER)
+        p, r, first = F.col(f"{side}_bleu.p"), F.col(f"{side}_bleu.r"), len(pairs)
+        pairs += [(ngrams(p, n), ngrams(r, n)) for n in range(1, BLEU_MAX_ORDER + 1)]
+        parts = _bleu_parts(
+            p, r, lambda n, first=first: F.get("matches", F.lit(first + n - 1)), BLEU_MAX_ORDER
+        )
         scores += [c.alias(f"{side}_{name}") for name, c in parts.items()]
 
         def total(name: str, side: str = side) -> Column:
@@ -241,7 +269,7 @@ def evaluate(
 
     rows = results.select(*tokens, referenced)
     rows = rows.select("*", *longest)
-    # generators, here and below: each value is worked out once, whatever uses it
+    rows = rows.select("*", F.explode(F.array(clipped_matches(pairs))).alias("matches"))
     rows = rows.select("referenced", F.inline(F.array(F.struct(*scores))))
     one = rows.agg(
         F.coalesce(F.bool_or("referenced"), F.lit(False)).alias("gate"),

@@ -104,7 +104,10 @@ def test_clipped_matches_are_multiset_intersections(spark):
         [("a a b c", "a b b"), ("", "a"), ("x", "y"), ("q q q", "q q q q")], "p string, r string"
     )
     tokens = [F.filter(F.split(c, " "), lambda x: x != "") for c in ("p", "r")]
-    got = [r[0] for r in rows.select(T.clipped_matches(*tokens)).collect()]
+    doubled = T.clipped_matches([tuple(tokens), (tokens[0], tokens[0])])
+    both = [r[0] for r in rows.select(doubled).collect()]
+    assert [b[1] for b in both] == [len(a.split()) for a in ("a a b c", "", "x", "q q q")]
+    got = [b[0] for b in both]
     want = [sum((Counter(a.split()) & Counter(b.split())).values())
             for a, b in [("a a b c", "a b b"), ("", "a"), ("x", "y"), ("q q q", "q q q q")]]
     assert got == want
