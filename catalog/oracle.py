@@ -7,10 +7,15 @@ from pairloom.fixed_values import (
     MENTION_WORDS, NOVELTY_STOP_WORDS, OVERLAP_STOP_WORDS, STRUCTURE_MESSAGE, TEACHER_TEMPLATE,
     TECH_KEYWORDS, TRAINING_TEMPLATE,
 )
-from pairloom.functions.text import SPACE
 
 # ------------------------------------------------------------------ SQL pieces
 
+# Python's \s spelled out, one range at a time.
+SPACE = (
+    r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -12,8 +12,8 @@ STRICT_JSON = {"allowSingleQuotes": "false"}
 
 RESUME_KEY = '"tailored_resume"'
 LETTER_KEY = '"cover_letter"'
-RESUME_VALUE = rf'(?s){RESUME_KEY}{SPACE}*:{SPACE}*"(.*?)"(?:,|{SPACE}*\}})'
-LETTER_VALUE = rf'(?s){LETTER_KEY}{SPACE}*:{SPACE}*"(.*?)"(?:{SPACE}*\}})'
+RESUME_VALUE = rf'(?sU){RESUME_KEY}{SPACE}*:{SPACE}*"(.*?)"(?:,|{SPACE}*\}})'
+LETTER_VALUE = rf'(?sU){LETTER_KEY}{SPACE}*:{SPACE}*"(.*?)"(?:{SPACE}*\}})'
 
 
 def is_strict_json(c: Column) -> Column:

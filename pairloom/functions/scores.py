@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from pairloom.functions.text import let
+from pairloom.functions.text import SPACE, let
 
 
 def rouge_tokens(c: Column) -> Column:
@@ -30,7 +30,7 @@ def bleu_tokens(c: Column) -> Column:
         (r"([0-9])(-)", "$1 $2 "),
     ):
         c = F.regexp_replace(c, pattern, new)
-    return F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(c, rf"(?U){SPACE}+"), lambda t: t != "")
 
 
 def f_measure(matches: Column, made: Column, wanted: Column) -> Column:

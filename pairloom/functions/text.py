@@ -12,13 +12,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's \s spelled out; Java's \s is ASCII only and (?U)\s misses chr(28)-chr(31).
-SPACE = (
-    r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
-# The same without the plain space.
-ODD_SPACE = SPACE.replace(r"\x20", r"\x1f")
+# Python's \s, for patterns that start with (?U): Unicode white space, which Java's \s
+# then is, and chr(28) to chr(31), which it lacks.
+SPACE = r"[\s\x1c-\x1f]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 ENTITY = r"&[a-z]+;"
 
@@ -38,18 +34,15 @@ def literals(words: Iterable[str]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
 def clean_text(c: Column) -> Column:
     """Null to empty, whitespace runs to one space, ``&name;`` to a space, trim.
 
-    Entities go after the collapse, so double spaces can remain inside. The pattern
-    passes over single plain spaces, which are nearly all of them and stay as they are.
+    Entities go after the collapse, so double spaces can remain inside.
     """
-    collapsed = F.regexp_replace(
-        F.coalesce(c, F.lit("")), rf"{ODD_SPACE}{SPACE}*| {SPACE}+", " "
-    )
+    collapsed = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE}+", " ")
     return F.trim(F.regexp_replace(collapsed, ENTITY, " "))
 
 
