@@ -33,6 +33,15 @@ def literals(words: Iterable[str]) -> Column:
     return F.split(F.lit("\t".join(words)), "\t")
 
 
+def only(column: str, words: Iterable[str]) -> Column:
+    """Elements of an array column that are among ``words``, by hash lookup.
+
+    Written as SQL text because a thousand literals take long to build one by one.
+    """
+    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"filter({column}, w -> w in ({listed or 'null'}))")
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 

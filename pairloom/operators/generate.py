@@ -62,17 +62,18 @@ def pending(batched: DataFrame, done: DataFrame, batch: str = "batch_id") -> Dat
     return batched.join(done.select(batch).distinct(), batch, "left_anti")
 
 
-def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_lines(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Delivered lines to ``(key, response, bad_line)``. A line must be one JSON object;
-    a missing key is empty."""
+    a missing key is empty. Blank lines are no lines."""
     parsed = let(
         strip(F.col(value)),
         lambda t: F.when(is_json_object(t), json_fields(t, "struct<" + _fields(RESPONSE) + ">")),
     )
     rows = lines.filter(strip(F.col(value)) != "").select(
-        F.inline(F.array(F.struct(parsed.alias("line"))))
+        *keep, F.explode(F.array(parsed)).alias("line")
     )
     return rows.select(
+        *keep,
         F.coalesce("line.key", F.lit("")).alias("key"),
         F.col("line.response").alias("response"),
         F.col("line").isNull().alias("bad_line"),
@@ -114,8 +115,9 @@ def with_outcome(
     """Every response with its pair, both outputs and one outcome label.
 
     ``pairs`` is keyed by ``request_key``. With ``order`` the last row of a repeated
-    key is used; without it keys are taken to be unique. Parsing is done before the
-    join, where the rows are only the responses.
+    key is used; without it keys are taken to be unique. Lines without a usable key
+    match no pair and may be very many, so they stay out of the join: they would all
+    meet in one task. Parsing is done before the join, where rows are only responses.
     """
     pairs = pairs.withColumn("key", request_key()).withColumn("known", F.lit(True))
     if order is not None:
@@ -128,33 +130,30 @@ def with_outcome(
             F.when(has_text, parse_pair(strip_fences(text))).alias("pair"),
         )
 
-    parsed = responses.select(
-        "key", "bad_line", F.inline(F.array(let(response_text(F.col("response")), read)))
+    usable = (F.col("key") != "") & ~F.col("bad_line")
+    parsed = responses.filter(usable).select(
+        "key", F.inline(F.array(let(response_text(F.col("response")), read)))
     ).select(
-        "key", "bad_line", "has_text",
+        "key", "has_text",
         F.col("pair.tailored_resume").alias("tailored_resume"),
         F.col("pair.cover_letter").alias("cover_letter"),
     )
     short = (F.length("tailored_resume") < min_chars) | (F.length("cover_letter") < min_chars)
     outcome = (
-        F.when(F.col("bad_line"), "bad_line")
-        .when(F.col("known").isNull(), "unknown_key")
+        F.when(F.col("known").isNull(), "unknown_key")
         .when(~F.col("has_text"), "no_text")
         .when(F.col("tailored_resume").isNull() | F.col("cover_letter").isNull(), "unparsable")
         .when(short, "too_short")
         .otherwise("ok")
     )
-    # Bad lines and empty keys match no pair, and there may be very many of them. They
-    # join on a random text instead, which spreads them over all tasks.
-    own_key = (F.col("key") != "") & ~F.col("bad_line")
-    spread_key = F.when(own_key, F.col("key")).otherwise(
-        F.concat(F.lit("?"), F.rand(0).cast("string"))
+    joined = (
+        parsed.join(pairs, "key", "left")
+        .withColumn("outcome", outcome).drop("known", "has_text")
     )
-    return (
-        parsed.withColumn("_join", spread_key)
-        .join(pairs.withColumnRenamed("key", "_join"), "_join", "left")
-        .withColumn("outcome", outcome).drop("_join", "known", "has_text", "bad_line")
+    keyless = responses.filter(~usable).select(
+        "key", F.when(F.col("bad_line"), "bad_line").otherwise("unknown_key").alias("outcome")
     )
+    return joined.unionByName(keyless, allowMissingColumns=True)
 
 
 def generated(outcomes: DataFrame) -> DataFrame:

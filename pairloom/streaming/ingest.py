@@ -20,16 +20,20 @@ def response_stream(
     A file is read once by the stream's own log; keys delivered again in another file
     are dropped for ``redelivery_window`` after arrival. The window runs on processing
     time, so no row is ever too late and the state stays bounded. Lines without a
-    usable key are all kept: they have to show up as failures.
+    usable key are all kept, as they have to show up as failures. Each is told apart by
+    a uuid: its seed is fixed per micro-batch and partition and it is drawn straight
+    after the file scan, so a task that runs again draws the same ones.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    rows = parse_lines(lines).withColumn("arrived", F.current_timestamp())
-    key = F.when(F.col("bad_line") | (F.col("key") == ""), F.uuid()).otherwise(F.col("key"))
+    rows = parse_lines(lines.withColumn("place", F.uuid()), keep=("place",)).withColumn(
+        "arrived", F.current_timestamp()
+    )
+    usable = ~F.col("bad_line") & (F.col("key") != "")
     return (
-        rows.withColumn("_once", key)
+        rows.withColumn("_once", F.when(usable, F.col("key")).otherwise(F.col("place")))
         .withWatermark("arrived", redelivery_window)
         .dropDuplicatesWithinWatermark(["_once"])
-        .drop("_once", "arrived")
+        .drop("_once", "arrived", "place")
     )
 
 
@@ -50,6 +54,7 @@ def ingest(
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         outcomes = with_outcome(batch, pairs).persist()
         try:
             generated(outcomes).write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
@@ -58,6 +63,7 @@ def ingest(
             )
         finally:
             outcomes.unpersist()
+            batch.unpersist()
 
     return (
         response_stream(spark, folder, **stream_options)
