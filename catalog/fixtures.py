@@ -50,25 +50,28 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def base(spark: SparkSession, folder: str) -> DataFrame:
-    """Exchanges with the documents of the conversation's number and the next one."""
+    """Exchanges with two documents each, picked by conversation and turn together, so
+    that a very long conversation spreads over all documents."""
     docs = read_table(spark, folder, "documents")
     own = docs.select(
-        F.col("doc_id").alias("conv_id"), F.col("text").alias("original_resume"),
+        F.col("doc_id").alias("own_id"), F.col("text").alias("original_resume"),
         F.col("source").alias("job_title"), F.col("lang").alias("lang"),
     )
-    following = docs.select(
-        (F.col("doc_id") - 1).alias("conv_id"), F.col("text").alias("job_description")
-    )
+    following = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("job_description"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
     user, both = F.length("user_text"), F.length("user_text") + F.length("assistant_text")
     return (
-        exchanges(spark, folder).join(own, "conv_id", "left").join(following, "conv_id", "left")
+        exchanges(spark, folder)
+        .withColumn("own_id", (F.col("conv_id") * 7 + F.col("turn")) % total)
+        .withColumn("next_id", (F.col("own_id") + 1) % total)
+        .join(own, "own_id", "left").join(following, "next_id", "left")
         .select(
             F.col("conv_id").alias("resume_id"), F.col("turn").alias("job_id"),
             F.round(user / both, 6).alias("similarity_score"),
             "original_resume", "job_title", "job_description",
             F.when(F.col("lang") != "en", F.col("lang")).alias("job_skills"),
             "user_text", "assistant_text",
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"),
+            (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("idx"),
         )
     )
 

@@ -71,9 +71,10 @@ base AS (
          round(length(user_text) / (length(user_text) + length(assistant_text)), 6) AS similarity_score,
          d.text AS original_resume, d.source AS job_title, n.text AS job_description,
          CASE WHEN d.lang <> 'en' THEN d.lang END AS job_skills,
-         user_text, assistant_text, e.conv_id * 1000 + e.turn AS idx
-  FROM exchanges e LEFT JOIN documents d ON d.doc_id = e.conv_id
-  LEFT JOIN documents n ON n.doc_id = e.conv_id + 1)
+         user_text, assistant_text, e.conv_id * 4294967296 + e.turn AS idx
+  FROM (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM documents) AS own_id FROM exchanges) e
+  LEFT JOIN documents d ON d.doc_id = own_id
+  LEFT JOIN documents n ON n.doc_id = (own_id + 1) % (SELECT count(*) FROM documents))
 """
 
 EXAMPLES = BASE + """,

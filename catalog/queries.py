@@ -17,7 +17,7 @@ from pairloom.functions.text import (
 )
 from pairloom.operators import clean, evaluate, generate, infer, match, prepare, quality, rank
 from pairloom.plans.pairing import create_pairs, job_text
-from pairloom.session import new_folder
+from pairloom.session import new_folder, stored
 from pairloom.sources import schemas, tables
 from pairloom.streaming.ingest import ingest
 
@@ -124,7 +124,7 @@ def pair_stats(spark, folder):
 
 @query
 def enrich_pairs(spark, folder):
-    pairs = _pairs(spark, folder, 2, None)
+    pairs = stored(_pairs(spark, folder, 2, None), "pairs")
     return match.enrich(pairs, fx.resumes(spark, folder), fx.jobs(spark, folder))
 
 
