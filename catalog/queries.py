@@ -67,8 +67,7 @@ def dedup_first(spark, folder):
 def stage_counts(spark, folder):
     left = clean.stage_counts(fx.documents(spark, folder), "text", min_hits=1)
     right = clean.stage_counts(fx.pages(spark, folder), "html", min_hits=1)
-    pairs = clean.potential_pairs(left, right)
-    return left.withColumn("potential_pairs", pairs.scalar())
+    return clean.potential_pairs(left, right)
 
 
 @query

@@ -109,7 +109,6 @@ def stage_counts(
 
 
 def potential_pairs(left_counts: DataFrame, right_counts: DataFrame) -> DataFrame:
-    """Product of the two final counts."""
-    return left_counts.select(
-        (F.col("after_dedup") * right_counts.select("after_dedup").scalar()).alias("potential_pairs")
-    )
+    """The left stage counts with the product of both final counts."""
+    right_rows = right_counts.select("after_dedup").scalar()
+    return left_counts.withColumn("potential_pairs", F.col("after_dedup") * right_rows)

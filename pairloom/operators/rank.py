@@ -153,7 +153,7 @@ def top_per_key(
 
 def split_exact(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     ratios: tuple[float, float, float] = (0.8, 0.1, 0.1),
     seed: int = 42,
     names: tuple[str, str, str] = ("train", "val", "test"),
@@ -161,14 +161,16 @@ def split_exact(
     """Seeded shuffle cut into exactly floor(n*a), floor(n*b) and the remaining rows.
 
     Only the two cut points are computed; each row then compares its own hash with
-    them, so the rows themselves never move. ``key`` is a unique bigint.
+    them, so the rows themselves never move. ``key`` names one or more bigint columns,
+    unique together; they also settle equal hashes.
     """
     if abs(sum(ratios) - 1.0) >= 1e-6:
         raise ValueError("ratios must sum to 1")
+    columns = [key] if isinstance(key, str) else list(key)
     total = df.count()
     first = int(total * ratios[0])
     second = first + int(total * ratios[1])
-    keys = [hash_to_long(seeded_hash(seed, key)), F.col(key)]
+    keys = [hash_to_long(seeded_hash(seed, *columns)), *[F.col(c) for c in columns]]
     first_cut, second_cut = cut_point(df, keys, first), cut_point(df, keys, second)
     label = F.lit(names[2])
     if second_cut:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pairloom.fixed_values import BATCH_SIZE, SEED, SPLIT_RATIOS
 from pairloom.operators import generate, quality
 from pairloom.operators.prepare import training_records
-from pairloom.operators.rank import hash_to_long, seeded_hash, split_exact
+from pairloom.operators.rank import split_exact
 from pairloom.session import stored
 from pairloom.sources import tables
 
@@ -41,10 +41,7 @@ def prepare(
     ratios: tuple[float, float, float] = SPLIT_RATIOS, seed: int = SEED,
 ) -> DataFrame:
     """Split by pair, format, write one folder per split."""
-    keyed = examples.withColumn(
-        "_key", hash_to_long(seeded_hash(0, "resume_id", "job_id"))
-    )
-    split = split_exact(keyed, "_key", ratios, seed)
+    split = split_exact(examples, ["resume_id", "job_id"], ratios, seed)
     records = training_records(split, form, keep=("split",))
     tables.write_splits(records, path, store)
     return records

@@ -61,7 +61,7 @@ def test_stage_counts_match_the_steps(spark):
     got = clean.stage_counts(df, "t").first().asDict()
     assert got == {"original": 31, "after_length": 21, "after_gate": 20, "after_dedup": 1}
     pairs = clean.potential_pairs(clean.stage_counts(df, "t"), clean.stage_counts(df, "t"))
-    assert pairs.first()[0] == 1
+    assert pairs.first()["potential_pairs"] == 1
 
 
 def test_cleaning_runs_once_per_row(spark):

@@ -30,6 +30,14 @@ def test_split_members_are_the_seeded_order(spark):
     assert {r["id"]: r["split"] for r in again.collect()} == want
 
 
+def test_split_settles_equal_hashes_by_key(spark, monkeypatch):
+    monkeypatch.setattr(rank, "hash_to_long", lambda c: F.lit(7).cast("bigint"))
+    rows = [(a, b) for a in range(3) for b in range(7)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint").repartition(4)
+    got = {(r["a"], r["b"]): r["split"] for r in rank.split_exact(df, ["a", "b"]).collect()}
+    assert got == {row: "train" if i < 16 else "val" if i < 18 else "test" for i, row in enumerate(rows)}
+
+
 def test_split_rejects_ratios(spark):
     with pytest.raises(ValueError):
         rank.split_exact(spark.range(3), "id", (0.8, 0.1, 0.2))
