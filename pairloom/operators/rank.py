@@ -63,7 +63,9 @@ def cut_point(df: DataFrame, keys: Sequence[Column], n: int) -> CutPoint | None:
         while low < high:
             exact = count <= HISTOGRAM_BUCKETS
             width = 1 if exact else -(-(high - low + 1) // HISTOGRAM_BUCKETS)
-            bucket = F.expr(f"cast(({name} - {low}) div {width} as bigint)")
+            # a range wider than a bigint is taken apart in decimals
+            start = low if high - low < 1 << 63 else f"cast({low} as decimal(20, 0))"
+            bucket = F.expr(f"cast(({name} - ({start})) div {width} as bigint)")
             counts = (
                 rows.filter(F.col(name).between(low, high))
                 .groupBy(bucket.alias("bucket")).count().orderBy("bucket").collect()

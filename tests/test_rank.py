@@ -55,6 +55,14 @@ def test_cut_point_with_hot_key(spark):
         assert kept == set(sorted(rows)[:n])
 
 
+def test_cut_point_over_the_whole_bigint_range(spark):
+    rng = random.Random(4)
+    ids = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(6000)} | {-(1 << 63), (1 << 63) - 1})
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(3)
+    for n in (1, 2, 3000, len(ids)):
+        assert rank.cut_point(df, [F.col("id")], n).values == (ids[n - 1],)
+
+
 def test_cut_point_bounds(spark):
     assert rank.cut_point(spark.range(3), [F.col("id")], 0) is None
     with pytest.raises(ValueError):
