@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="pairloom-package-")
+        root, name = os.path.split(PACKAGE)
+        context.addPyFile(shutil.make_archive(f"{folder}/{name}", "zip", root, name))
+        _shipped.add(context.applicationId)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
@@ -30,8 +45,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder in the shared one.
+
+    The application owns that folder; it goes when the driver ends, through the same
+    file system that holds it.
+    """
+    context = spark.sparkContext
+    own = f"{shared_folder(spark).rstrip('/')}/tables-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

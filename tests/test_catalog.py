@@ -5,9 +5,12 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from catalog import queries as catalog
+from catalog.oracle import oracle_sql as catalog_sql
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in catalog.QUERIES}
+SQL = catalog_sql()
 NO_SQL = {"rouge_l", "evaluate_run"}  # stemmed
 
 
