@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import quality, urls
+from pairloom.llm import bpe, licenses, quality, tokenbin, urls
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -33,5 +35,26 @@ def op2_quality_divergence(spark, folder):
 
 @query
 def op3_url_rules(spark, folder):
-    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    listed = [F.struct(F.lit(r).alias("rule"), F.lit(a).alias("action")) for r, a in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*listed)))
     return urls.judge_urls(_table(spark, folder, "pages"), rules)
+
+
+@query
+def op6_byte_bpe(spark, folder):
+    return bpe.encode_decode(
+        _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    ).drop("decoded_equal")
+
+
+@query
+def op7_token_files(spark, folder):
+    return tokenbin.write_and_read(
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2
+    )
+
+
+@query
+def op9_license_rules(spark, folder):
+    return licenses.scan_licenses(_table(spark, folder, "documents")).drop("detections")
