@@ -53,9 +53,9 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
-def crc32_remainder(id_col: str, parts: int):
-    """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
-    text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+def crc32_remainder(key, parts: int):
+    """crc32 of an id column as text, modulo ``parts``; a null id counts as empty text."""
+    text = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
     return F.crc32(F.encode(text, "utf-8")) % parts
 
 

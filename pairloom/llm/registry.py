@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, licenses, quality, tokenbin, urls
+from pairloom.llm import bpe, licenses, quality, secrets, tokenbin, toxicity, urls
+from pairloom.llm.batches import crc32_remainder
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +41,16 @@ def op3_url_rules(spark, folder):
     return urls.judge_urls(_table(spark, folder, "pages"), rules)
 
 
+@query
+def op5_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(
+        docs, _table(spark, folder, "labels"), learn=lambda c: crc32_remainder(c, 4) != 2
+    )
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc32_remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_byte_bpe(spark, folder):
     return bpe.encode_decode(
@@ -55,6 +66,11 @@ def op7_token_files(spark, folder):
     )
 
 
+@query
+def op8_secrets(spark, folder):
+    return secrets.scan_secrets(_table(spark, folder, "documents"))
+
+
 @query
 def op9_license_rules(spark, folder):
     return licenses.scan_licenses(_table(spark, folder, "documents")).drop("detections")
