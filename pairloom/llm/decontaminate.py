@@ -20,35 +20,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairloom.llm.batches import pieces
+from pairloom.llm.words import PLAIN, WordTable
 
 RADIUS = 11
 SHINGLE = 5
 CHUNK = 1 << 14
-WORDS_HELD = 300_000
-_WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of all texts: the distinct ones, the number of each word in order, and words per text.
-
-    Words are lower-cased runs of ASCII letters and digits and of all characters beyond ASCII.
-    """
-    plain = pa.array(
-        [t.lower().encode("utf-8", "replace").translate(_WORD_BYTES).strip() for t in texts], pa.large_string()
-    )
-    split = pc.ascii_split_whitespace(plain)
-    # splitting an empty text gives one empty word
-    sizes = np.where(pc.binary_length(plain).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0)
-    listed = pc.filter(split, pa.array(sizes > 0)).flatten().dictionary_encode()
-    return listed.dictionary.cast(pa.large_binary()).to_pylist(), listed.indices.to_numpy(), sizes
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -77,35 +59,19 @@ def _stride(n_words: int) -> int:
     return 1 if n_words < 8 else 1 << max(2, n_words.bit_length() - 4)
 
 
-class Words:
-    """Hashes of words and their bits as +1 and -1. Row 0 is the padding word of all zeros."""
-
-    def __init__(self):
-        self.clear()
+class SignedWords(WordTable):
+    """Words with the bits of their hashes as +1 and -1; number 0, the padding, has zeros."""
 
     def clear(self):
-        self.number: dict[bytes, int] = {}
-        self.hashes = np.zeros(1024, np.uint64)
+        super().clear()
         self.signs = np.zeros((1024, 64), np.int8)
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Numbers of the words of every text."""
-        distinct, places, sizes = words_of(texts)
-        return np.split(self.numbers(distinct)[places], np.cumsum(sizes)[:-1]) if len(texts) else []
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = set(words).difference(self.number)
-        if new:
-            first = len(self.number) + 1
-            self.number.update(zip(new, range(first, first + len(new)), strict=True))
-            while first + len(new) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                self.signs = np.concatenate([self.signs, np.zeros_like(self.signs)])
-            own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in new), np.uint64, len(new))
-            self.hashes[first:first + len(new)] = own
-            bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            self.signs[first:first + len(new)] = 2 * bits.astype(np.int8) - 1
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def added(self, first, n):
+        if len(self.signs) < len(self.hashes):
+            more = np.zeros((len(self.hashes) - len(self.signs), 64), np.int8)
+            self.signs = np.concatenate([self.signs, more])
+        own = self.hashes[first:first + n].astype("<u8").view(np.uint8).reshape(-1, 8)
+        self.signs[first:first + n] = 2 * np.unpackbits(own, axis=1, bitorder="little").astype(np.int8) - 1
 
 
 def _near_blocks(values: np.ndarray) -> np.ndarray:
@@ -119,7 +85,7 @@ class ItemIndex:
     """Fingerprints of items by window size, and the items' own shingles."""
 
     def __init__(self, ids: list, texts: list[str]):
-        words, self.ids, self.shingles, self.sizes = Words(), [], [], []
+        words, self.ids, self.shingles, self.sizes = SignedWords(PLAIN), [], [], []
         filed: dict[tuple[int, int], list] = {}
         for key, numbers in zip(ids, words.texts(texts), strict=True):
             n = len(numbers)
@@ -152,7 +118,7 @@ class Matcher:
     """Finds the items whose passages stand in documents."""
 
     def __init__(self, index: ItemIndex, threshold: float):
-        self.index, self.threshold, self.words = index, threshold, Words()
+        self.index, self.threshold, self.words = index, threshold, SignedWords(PLAIN)
 
     def _windows(self, signs: np.ndarray, step: int, classes: list):
         """(start, item offset, item) of windows within the radius, for one stretch of words."""
@@ -194,8 +160,6 @@ class Matcher:
 
     def match(self, texts: list[str]) -> list[list[tuple[int, float, int, int]]]:
         """For every text: (item, similarity, first word, words) of its best place per item."""
-        if len(self.words.number) > WORDS_HELD:
-            self.words.clear()
         numbers = self.words.texts(texts)
         # windows may stick out of a document by as much as the threshold allows
         pad = int(max(self.index.sizes.tolist(), default=0) * (1 - self.threshold)) + 8

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.text import SPACES, once, words
+from pairloom.functions.text import let
+from pairloom.llm.text import SPACES, once
 from pairloom.session import stored
 
 # Frequent function words of four languages.
@@ -26,10 +27,10 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al es".split(),
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au".split(),
 }
-# Character classes; letters beyond ASCII, then all others, follow.
+# Character classes; letters beyond ASCII follow, and lower-case letters, spaces
+# and all others are what remains.
 CLASSES = {
-    "lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": "\\x20\\x09-\\x0D",
-    "punctuation": ".,;:!?'\"()\\-", "symbol": "#*$%&|<>@+=/\\\\^_`~{}\\[\\]",
+    "upper": "A-Z", "digit": "0-9", "punctuation": ".,;:!?'\"()\\-", "symbol": "#*$%&|<>@+=/\\\\^_`~{}\\[\\]",
 }
 MIN_WORDS = 50
 WINDOW = 3
@@ -39,25 +40,26 @@ def _vocabulary() -> list[str]:
     return sorted({w for listed in COMMON_WORDS.values() for w in listed})
 
 
-def _class_counts(text: Column) -> Column:
-    others = [f"[^{c}]+" for c in CLASSES.values()] + ["[^\\p{L}\\p{M}]+|[a-zA-Z]+"]
-    return F.array(*[F.length(F.regexp_replace(text, p, "")).cast("long") for p in others])
+def _class_counts(rest: str) -> list[Column]:
+    """Counts of the classes other than lower-case letters and spaces, in what those leave."""
+    patterns = [f"[^{c}]+" for c in CLASSES.values()] + ["[^\\p{L}\\p{M}]+|[a-zA-Z]+"]
+    return [F.length(F.regexp_replace(rest, p, "")).cast("long") for p in patterns]
 
 
-def _common_counts(words_col: str) -> Column:
-    """Counts of the common words, in order of text.
-
-    Found words become one letter each, so that counting is a byte search in a short string.
+def _common_words(words_col: str) -> tuple[Column, list[str]]:
+    """The common words of a text (small or with a first capital) as one letter each, and the
+    letters in order of the words: counting is then a byte search in a short string.
     """
     listed = _vocabulary()
-    signs = {w: chr(0x30 + k) for k, w in enumerate(listed)}
-    quoted = ", ".join(f"'{w}'" for w in listed)
-    table = ", ".join(f"'{w}', '{signs[w].replace(chr(92), chr(92) * 2)}'" for w in listed)
+    letters = [chr(0x30 + k) for k in range(len(listed))]
+    signs = {form: sign for w, sign in zip(listed, letters, strict=True) for form in (w, w.capitalize())}
+    quoted = ", ".join(f"'{w}'" for w in signs)
+    table = ", ".join(f"'{w}', '{s.replace(chr(92), chr(92) * 2)}'" for w, s in signs.items())
     coded = F.expr(
-        f"array_join(transform(filter(transform({words_col}, w -> lower(w)), w -> w in ({quoted})),"
+        f"array_join(transform(filter({words_col}, w -> w in ({quoted})),"
         f" w -> element_at(map({table}), w)), '')"
     )
-    return once(coded), [signs[w] for w in listed]
+    return once(coded), letters
 
 
 def _covered(windows: str, sorted_windows: str) -> Column:
@@ -74,16 +76,22 @@ def document_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"),
-        once(words(text)).alias("w"),
+        once(F.array_remove(F.split(text, SPACES), "")).alias("w"),
+    )
+    coded, signs = _common_words("w")
+    rows = rows.select(
+        "doc_id", "lang", "text", "w", F.length("text").cast("long").alias("n_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"), coded.alias("coded"),
     )
+    rows = rows.select("*", once(F.regexp_replace("text", "[a-z\\x20\\x09-\\x0D]+", "")).alias("rest"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
-    coded, signs = _common_counts("w")
-    rows = rows.select("*", coded.alias("coded"))
+    rest = F.length("rest").cast("long")
     rows = rows.select(
-        "doc_id", "lang", "w", F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length("text").cast("long").alias("n_chars"), _class_counts(F.col("text")).alias("classes"),
+        "doc_id", "lang", "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_chars",
+        F.length(F.regexp_replace("rest", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.array(
+            *_class_counts("rest"), (F.col("word_chars") - rest), (F.col("n_chars") - F.col("word_chars")),
+        ).alias("classes"),
         F.array(*[
             (F.length("coded") - F.length(F.replace("coded", F.lit(s), F.lit("")))).cast("long")
             for s in signs
@@ -116,20 +124,19 @@ def document_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
     return rows.select(*[c for c in rows.columns if c != "p"], _covered("h", "p").alias("n_repeat_words"))
 
 
-def js_distance(left: Column, right: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays; null where one of them has no count."""
-    def share(counts):
-        return F.aggregate(counts, F.lit(0).cast("double"), lambda a, x: a + x)
+def shares(counts: Column) -> Column:
+    """Counts divided by their sum; null where there is none."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    return let(total, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
 
-    def part(p, m):
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    def terms(n, m):
-        return F.zip_with(left, right, lambda x, y: part(x / n, (x / n + y / m) / 2) + part(y / m, (x / n + y / m) / 2))
+def js_distance(left: Column, right: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares; null where one of them is null."""
+    def part(p, q):
+        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(F.lit(0.0))
 
-    n, m = share(left), share(right)
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(
-        F.lit(0.0), F.aggregate(terms(n, m), F.lit(0.0), lambda a, x: a + x) / 2)))
+    terms = F.zip_with(left, right, lambda p, q: part(p, q) + part(q, p))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
 def judge_quality(
@@ -156,25 +163,32 @@ def judge_quality(
             "concat(classes, array(n_chars - aggregate(classes, 0L, (a, x) -> a + x)))")),
         "quality",
     )
-    sizes = {"classes": len(CLASSES) + 2, "common": len(_vocabulary())}
+    sizes = {"classes": len(CLASSES) + 4, "common": len(_vocabulary())}
     sums = counts.filter(~F.col("base_failed")).groupBy("lang").agg(*[
         F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for name, n in sizes.items() for i in range(n)
     ]).select(F.col("lang").alias("of"), *[
         F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(f"all_{name}") for name, n in sizes.items()
     ])
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    sums = sums.select(
+        "of", *[total(f"all_{name}").alias(f"total_{name}") for name in sizes],
+        *[shares(F.col(f"all_{name}")).alias(f"{name}_reference") for name in sizes],
+    )
     class_far = (
-        (F.col("n_chars") >= min_chars) & (total("all_classes") >= min_reference)
+        (F.col("n_chars") >= min_chars) & (F.col("total_classes") >= min_reference)
         & (F.col("class_distance") > most_class_distance)
     )
     word_far = (
-        (total("common") >= min_common) & (total("all_common") >= min_reference)
+        (total("common") >= min_common) & (F.col("total_common") >= min_reference)
         & (F.col("word_distance") > most_word_distance)
     )
     return (
         counts.join(sums, F.col("lang").eqNullSafe(F.col("of")), "left")
-        .withColumn("class_distance", js_distance(F.col("classes"), F.col("all_classes")))
-        .withColumn("word_distance", js_distance(F.col("common"), F.col("all_common")))
+        .select("*", once(F.struct(
+            js_distance(shares(F.col("classes")), F.col("classes_reference")).alias("class_distance"),
+            js_distance(shares(F.col("common")), F.col("common_reference")).alias("word_distance"),
+        )).alias("far"))
+        .select("*", "far.*")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
             (~F.col("base_failed") & ~F.coalesce(class_far, F.lit(False)) & ~F.coalesce(word_far, F.lit(False)))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, licenses, quality, secrets, tokenbin, toxicity, urls
+from pairloom.llm import bpe, decontaminate, licenses, neardup, quality, secrets, tokenbin, toxicity, urls
 from pairloom.llm.batches import crc32_remainder
 
 QUERIES = {}
@@ -28,6 +28,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark, folder):
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @query
 def op2_quality_divergence(spark, folder):
     rows = quality.judge_quality(_table(spark, folder, "documents"))
@@ -41,6 +46,11 @@ def op3_url_rules(spark, folder):
     return urls.judge_urls(_table(spark, folder, "pages"), rules)
 
 
+@query
+def op4_near_duplicates(spark, folder):
+    return neardup.near_duplicates(_table(spark, folder, "documents"))
+
+
 @query
 def op5_toxicity(spark, folder):
     docs = _table(spark, folder, "documents")
