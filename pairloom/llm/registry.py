@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, licenses, neardup, quality, secrets, tokenbin, toxicity, urls
+from pairloom.llm import bpe, decontaminate, katz, licenses, neardup, quality, secrets, tokenbin, toxicity, urls
 from pairloom.llm.batches import crc32_remainder
 
 QUERIES = {}
@@ -84,3 +84,11 @@ def op8_secrets(spark, folder):
 @query
 def op9_license_rules(spark, folder):
     return licenses.scan_licenses(_table(spark, folder, "documents")).drop("detections")
+
+
+@query
+def op10_katz_backoff(spark, folder):
+    docs = _table(spark, folder, "documents")
+    scored = katz.score_texts(docs, learn=lambda c: crc32_remainder(c, 7) != 2)
+    return scored.select("doc_id", (crc32_remainder("doc_id", 7) == 2).alias("held_out"),
+                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
