@@ -53,6 +53,24 @@ def map_texts(
     return rows.mapInArrow(run, schema)
 
 
+def filter_texts(
+    docs: DataFrame, make: Callable[[], Callable[[list], list]], *, text_col: str, most: int = PIECE_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, for which ``make()(texts)`` is true."""
+    schema, place = docs.schema, docs.columns.index(text_col)
+
+    def run(batches):
+        work, arrow = make(), to_arrow_schema(schema)
+        for batch in batches:
+            for a, b in pieces(batch.column(place), most):
+                part = batch.slice(a, b - a)
+                keep = work([t or "" for t in part.column(place).to_pylist()])
+                held = part.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held.columns, arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
+
+
 def crc32_remainder(key, parts: int):
     """crc32 of an id column as text, modulo ``parts``; a null id counts as empty text."""
     text = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))

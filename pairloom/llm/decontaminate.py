@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairloom.llm.batches import pieces
+from pairloom.llm.batches import filter_texts, pieces
 from pairloom.llm.words import PLAIN, WordTable
 
 RADIUS = 11
@@ -264,13 +264,9 @@ def without_leaks(
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes):
         make = _matcher(docs.sparkSession, index, threshold)
 
-        def run(batches, make=make, place=docs.columns.index(text_col)):
+        def clean(make=make):
             matcher = make()
-            for batch in batches:
-                for a, b in pieces(batch.column(place), 1 << 20):
-                    part = batch.slice(a, b - a)
-                    texts = [t or "" for t in part.column(place).to_pylist()]
-                    yield part.filter(pa.array([not found for found in matcher.match(texts)]))
+            return lambda texts: [not found for found in matcher.match(texts)]
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = filter_texts(docs, clean, text_col=text_col, most=1 << 20)
     return docs

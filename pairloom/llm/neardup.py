@@ -11,7 +11,8 @@
    components, once more on full sets. So every candidate pair is either verified or
    already inside one component, and no link that banding finds is lost.
 
-With 32 bands of six rows a pair at similarity 0.85 shares no band with a probability under 3e-7.
+Bands have six rows; there are so many that a pair at the threshold shares none with a probability
+of one in a million at most (30 at 0.85, 46 at 0.8).
 Large groups of copies are one class; a large group of near copies needs a link per member and
 leader, never one per pair. Joins by bucket or class are plain equi-joins that adaptive
 execution can split. Texts move only for classes that have a candidate.
@@ -19,6 +20,8 @@ execution can split. Texts move only for classes that have a candidate.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,8 @@ from pairloom.llm.words import SPACED, WordTable
 from pairloom.session import stored
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
+ROWS = 6
+MISS = 1e-6
 PIECE = 1 << 19
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -227,7 +231,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int | None = None, rows: int = ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -239,6 +243,42 @@ def near_duplicates(
     Repeated rows get the same result each, so all rows that repeat the least id are kept. Other
     columns are left out. An empty table gives no rows.
     """
+    named, table = _grouped(docs, id_col, text_col, percent, bands, rows)
+    return table.join(named, "key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
+    bands: int | None = None, rows: int = ROWS,
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows that
+    repeat both the id and the shingle set only one."""
+    named, table = _grouped(docs, id_col, text_col, percent, bands, rows)
+    ids = table.join(named, "key", "left").filter(F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = ids.select(F.col("doc_id").alias("id"), F.col("key").alias("own")).distinct()
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([packed.schema["doc"], packed.schema["id"], T.StructField("key", T.BinaryType())])
+
+    def run(batches):
+        shingler = Shingler()
+        for batch in batches:
+            for a, b in pieces(batch.column(2), PIECE):
+                texts = [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]
+                keys = pa.array([set_key(s) if len(s) else None for s in shingler(texts)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), keys], names=["doc", "id", "key"])
+
+    keyed = packed.mapInArrow(run, schema).alias("k")
+    same = F.col("k.id").eqNullSafe(F.col("i.id")) & F.col("k.key").eqNullSafe(F.col("i.own"))
+    return keyed.join(ids.alias("i"), same, "left_semi").dropDuplicates(["id", "key"]).select("doc.*")
+
+
+def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, DataFrame]:
+    """(key, component_id) of every class, and the stored signatures."""
+    if bands is None:
+        bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
     table = stored(signed(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows), "signatures")
     classes = table.filter(F.col("key").isNotNull()).groupBy("key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -273,10 +313,7 @@ def near_duplicates(
     rooted = table.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")).join(
         found, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("key", "component_id")
-    return table.join(named, "key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rooted.join(least, "root").select("key", "component_id"), table
 
 
 def _texts(docs: DataFrame, row_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:

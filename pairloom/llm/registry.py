@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,12 @@ def op10_katz_backoff(spark, folder):
     scored = katz.score_texts(docs, learn=lambda c: crc32_remainder(c, 7) != 2)
     return scored.select("doc_id", (crc32_remainder("doc_id", 7) == 2).alias("held_out"),
                          "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -99,6 +99,32 @@ def linked(spans: DataFrame, scope: int) -> DataFrame:
     )
 
 
+def _matched(docs: DataFrame, text_col: str, **kept: Column) -> DataFrame:
+    """``kept`` columns, a row number and the matches of every kind, written once."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return stored(docs.select(
+        *[c.alias(name) for name, c in kept.items()], F.monotonically_increasing_id().alias("row"),
+        *[_matches(text, pattern, group).alias(name) for name, pattern, group, _ in KINDS],
+    ), "secrets")
+
+
+def reported(rows: DataFrame, scope: int) -> DataFrame:
+    """Strong spans and linked weak ones."""
+    spans = strong_and_weak(rows)
+    return spans.filter(F.col("kind").isin(_numbers(BASE))).union(linked(spans, scope))
+
+
+def without_secrets(docs: DataFrame, *, text_col: str = "text", scope: int = 200) -> DataFrame:
+    """The rows of ``docs`` without a reported span, with all their columns.
+
+    Rows without any match go straight through; only the others meet the join.
+    """
+    rows = _matched(docs, text_col, doc=F.struct(*[F.col(c) for c in docs.columns]))
+    some = F.coalesce(*[F.col(name) for name, *_ in KINDS]).isNotNull()
+    weak = rows.filter(some).join(reported(rows, scope).select("row").distinct(), "row", "left_anti")
+    return rows.filter(~some).select("doc.*").union(weak.select("doc.*"))
+
+
 def scan_secrets(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: int = 200,
 ) -> DataFrame:
@@ -109,18 +135,9 @@ def scan_secrets(
     span both are those of empty text; so it is for a null or empty text. Null ids, repeated rows
     and ids stay as they are; other columns are left out. An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-            *[_matches(text, pattern, group).alias(name) for name, pattern, group, _ in KINDS],
-        ),
-        "secrets",
-    )
-    spans = strong_and_weak(rows)
-    base = F.col("kind").isin(_numbers(BASE))
+    rows = _matched(docs, text_col, doc_id=F.col(id_col))
     names = F.array(*[F.lit(name) for name, *_ in KINDS])
-    reported = spans.filter(base).union(linked(spans, scope)).groupBy("row").agg(
+    listed = reported(rows, scope).groupBy("row").agg(
         *[F.count_if(F.col("kind") == k).alias(f"n_{KINDS[k][0]}") for k in _numbers(BASE)],
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("list"),
     )
@@ -130,7 +147,7 @@ def scan_secrets(
             ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     strong = F.filter("list", lambda s: s["kind"].isin(_numbers(BASE)))
-    return rows.select("row", "doc_id").join(reported, "row", "left").select(
+    return rows.select("row", "doc_id").join(listed, "row", "left").select(
         "doc_id",
         *[F.coalesce(F.col(f"n_{name}"), F.lit(0)).cast("long").alias(f"n_{name}") for name in BASE],
         F.sha2(F.coalesce(text_of(strong), F.lit("")), 256).alias("base_sha256"),

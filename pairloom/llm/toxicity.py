@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.batches import map_texts, pieces
+from pairloom.llm.batches import filter_texts, map_texts, pieces
 from pairloom.session import stored
 
 BITS = 19
@@ -160,6 +160,17 @@ def fit(
     return ToxicityModel(hashes, w * ratios, bias)
 
 
+def _scorer(model: ToxicityModel):
+    table, weights, bias = model.place(), model.weights, model.bias
+
+    def one(text):
+        at = table[grams(text)]
+        at = np.unique(at[at >= 0])
+        return 1 / (1 + np.exp(-np.clip(weights[at].sum() + bias, -40, 40)))
+
+    return lambda texts: np.array([one(t) for t in texts])
+
+
 def score(
     docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
 ) -> DataFrame:
@@ -169,18 +180,22 @@ def score(
     repeated rows and ids stay as they are; other columns are left out. An empty table gives no rows.
     """
     def make():
-        table, weights, bias = model.place(), model.weights, model.bias
-
-        def one(text):
-            at = table[grams(text)]
-            at = np.unique(at[at >= 0])
-            return 1 / (1 + np.exp(-np.clip(weights[at].sum() + bias, -40, 40)))
+        scores_of = _scorer(model)
 
         def work(texts):
-            scores = np.array([one(t) for t in texts])
+            scores = scores_of(texts)
             return {"score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 
         return work
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return map_texts(docs, make, fields, id_col=id_col, text_col=text_col)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns."""
+    def make():
+        scores_of = _scorer(model)
+        return lambda texts: scores_of(texts) < threshold
+
+    return filter_texts(docs, make, text_col=text_col)
