@@ -102,8 +102,8 @@ FORMS = [
     (2, 0.99, r"spdx license identifier (?:{name})"),
     (3, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|redistributed|provided) under (?:the )?"
               r"(?:terms (?:of|and conditions of) )?(?:the )?(?:{name})(?: licen[sc]e)?"),
-    (4, 0.9, r"under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{name}) licen[sc]e"),
-    (5, 0.75, r"(?:{name}) licen[sc]e"),
+    (4, 0.9, r"under (?:the )?(?:terms (?:of|and conditions of) )?(?:the )?(?:{name})(?: [0-9]+){{0,3}} licen[sc]e"),
+    (5, 0.75, r"(?:{name})(?: [0-9]+){{0,3}} licen[sc]e"),
     (5, 0.75, r"licen[sc]e (?:is )?(?:the )?(?:{name})"),
 ]
 # Sentences of the licenses themselves.
