@@ -69,63 +69,50 @@ def test_response_text(spark):
     assert got == ["a", "x", "x", None, None, None]
 
 
-def python_sections(text):
-    text = text.strip()
-    if "COVER LETTER:" in text:
-        parts = text.split("COVER LETTER:")
-        return parts[0].replace("TAILORED RESUME:", "").strip(), parts[1].strip()
-    return text, ""
-
-
+# text, its resume and letter, and both as ground truth
 SECTIONS = [
-    "TAILORED RESUME:\nr\n\nCOVER LETTER:\nc", " plain ", "a COVER LETTER: b COVER LETTER: c",
-    "TAILORED RESUME: x TAILORED RESUME: y COVER LETTER:", "TAILORED RESUME: only", "",
+    ("TAILORED RESUME:\nr\n\nCOVER LETTER:\nc", ("r", "c"), ("r", "c")),
+    (" plain ", ("plain", ""), ("", "")),
+    ("a COVER LETTER: b COVER LETTER: c", ("a", "b"), ("a", "b")),
+    ("TAILORED RESUME: x TAILORED RESUME: y COVER LETTER:", ("x  y", ""), ("x  y", "")),
+    ("TAILORED RESUME: only", ("TAILORED RESUME: only", ""), ("", "")),
+    ("", ("", ""), ("", "")),
 ]
 
 
 def test_split_sections(apply):
-    got = apply(parse.split_sections(F.col("t")), *SECTIONS)
-    assert [(g["resume"], g["letter"]) for g in got] == [python_sections(s) for s in SECTIONS]
+    got = apply(parse.split_sections(F.col("t")), *[text for text, _, _ in SECTIONS])
+    assert [(g["resume"], g["letter"]) for g in got] == [whole for _, whole, _ in SECTIONS]
 
 
 def test_ground_truth_is_empty_without_marker(apply):
-    got = apply(parse.ground_truth(F.col("t")), *SECTIONS, None)
-    want = [python_sections(s) if "COVER LETTER:" in s else ("", "") for s in SECTIONS] + [("", "")]
-    assert [(g["resume"], g["letter"]) for g in got] == want
-
-
-def python_fold(instruction):
-    """Brute force for the line reader."""
-    out = {"resume": "", "title": "", "description": "", "skills": ""}
-    section = None
-    for line in instruction.split("\n"):
-        for marker, field in (("RESUME:", None), ("Title:", "title"), ("Description:", "description"), ("Skills:", "skills")):
-            if marker in line:
-                if marker == "RESUME:":
-                    section = "resume"
-                else:
-                    out[field] = line.split(marker)[1].strip()
-                    section = "description" if field == "description" else section
-                break
-        else:
-            if section == "resume":
-                out["resume"] += line + "\n"
-            elif section == "description":
-                out["description"] += line + " "
-    out["resume"], out["description"] = out["resume"].strip(), out["description"].strip()
-    return out
+    got = apply(parse.ground_truth(F.col("t")), *[text for text, _, _ in SECTIONS], None)
+    assert [(g["resume"], g["letter"]) for g in got] == [truth for _, _, truth in SECTIONS] + [("", "")]
 
 
+# instruction, then its resume, title, description and skills
 INSTRUCTIONS = [
-    "RESUME:\nline one\nline two\n\nJOB POSTING:\nTitle: Dev\nDescription: Build\nthings\nSkills: sql\n\nGenerate it.",
-    "RESUME:\nknows Title: of kings\nmore\nDescription: a Description: b\nSkills: x Skills: y",
-    "intro\nTitle: t\nno section", "", "RESUME: same line lost\nDescription:\nx\nRESUME:\nagain\nDescription: last\n\ny",
+    (
+        "RESUME:\nline one\nline two\n\nJOB POSTING:\nTitle: Dev\nDescription: Build\nthings\nSkills: sql\n\nGenerate it.",
+        "line one\nline two\n\nJOB POSTING:", "Dev", "Buildthings  Generate it.", "sql",
+    ),
+    (
+        "RESUME:\nknows Title: of kings\nmore\nDescription: a Description: b\nSkills: x Skills: y",
+        "more", "of kings", "a", "x",
+    ),
+    ("intro\nTitle: t\nno section", "", "t", "", ""),
+    ("", "", "", "", ""),
+    (
+        "RESUME: same line lost\nDescription:\nx\nRESUME:\nagain\nDescription: last\n\ny",
+        "again", "", "last y", "",
+    ),
 ]
 
 
 def test_parse_instruction(apply):
-    got = apply(parse.parse_instruction(F.col("t")), *INSTRUCTIONS)
-    assert [g.asDict() for g in got] == [python_fold(i) for i in INSTRUCTIONS]
+    got = apply(parse.parse_instruction(F.col("t")), *[case[0] for case in INSTRUCTIONS])
+    want = [dict(zip(("resume", "title", "description", "skills"), case[1:], strict=True)) for case in INSTRUCTIONS]
+    assert [g.asDict() for g in got] == want
 
 
 def test_prompt_round_trip_has_the_closing_line_in_the_description(spark):
