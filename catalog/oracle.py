@@ -537,8 +537,10 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY t ORDER BY page_id) = 1""",
         "keyword_gate": f"""SELECT * FROM (SELECT doc_id, {hits("text || ' ' || source")} AS hits FROM documents)
             WHERE hits >= 1""",
-        "dedup_first": """SELECT doc_id, length(text)::INTEGER AS n FROM documents
-            QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+        "dedup_first": """SELECT id AS doc_id, length(text)::INTEGER AS n, md5(text) AS text_md5
+            FROM (SELECT CASE WHEN doc_id % 5 = 3 THEN doc_id - 1 WHEN doc_id % 7 <> 2 THEN doc_id END AS id, text
+                  FROM documents)
+            QUALIFY row_number() OVER (PARTITION BY text ORDER BY id NULLS LAST) = 1""",
         "stage_counts": f"""WITH l AS ({stage("text", "documents")}), r AS ({stage("html", "pages")})
             SELECT l.*, l.after_dedup * r.after_dedup AS potential_pairs FROM l, r""",
         "head_rows": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50",

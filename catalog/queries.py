@@ -59,8 +59,13 @@ def keyword_gate(spark, folder):
 
 @query
 def dedup_first(spark, folder):
-    docs = fx.documents(spark, folder).select("doc_id", "text")
-    return clean.dedup_keep_first(docs, "text", "doc_id").select("doc_id", F.length("text").alias("n"))
+    """Over ids of which some are null and some stand for two texts."""
+    number = F.col("doc_id")
+    odd = F.when(number % 5 == 3, number - 1).when(number % 7 != 2, number)
+    docs = fx.documents(spark, folder).select(odd.alias("doc_id"), "text")
+    return clean.dedup_keep_first(docs, "text", "doc_id").select(
+        "doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5")
+    )
 
 
 @query

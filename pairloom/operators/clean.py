@@ -20,21 +20,23 @@ def head(df: DataFrame, order: str, n: int) -> DataFrame:
 def dedup_keep_first(df: DataFrame, value: str, order: str) -> DataFrame:
     """Exact duplicates of ``value`` out, the row with the least ``order`` stays.
 
-    The survivors come from ``min(order)`` per hash, which combines before the
-    shuffle: a text with a third of all rows as copies is one row per task there. Full
-    rows move once, by the unique ``order`` column, never by text.
+    One aggregation over whole rows, which combines before the shuffle: a text with a third
+    of all rows as copies is one row per task there, and the input is read once. A null
+    ``order`` comes last; a repeated one still gives one row per text. Null texts are copies
+    of each other.
     """
-    first = (
-        df.groupBy(F.sha2(F.col(value), 256).alias("_hash"))
-        .agg(F.min(order).alias(order)).select(order)
-    )
-    return df.join(first, order, "left_semi")
+    place = F.struct(F.col(order).isNull(), F.col(order))
+    kept = F.min_by(F.struct(*[F.col(c) for c in df.columns]), place)
+    return df.groupBy(F.sha2(F.col(value), 256).alias("_hash")).agg(kept.alias("_kept")).select("_kept.*")
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the one with the greatest ``order`` (unique) value."""
-    last = df.groupBy(key).agg(F.max(order).alias(order)).select(order)
-    return df.join(last, order, "left_semi")
+    """One row per key, the one with the greatest ``order``; a null ``order`` comes first. Rows
+    without a key stay as they are."""
+    place = F.struct(F.col(order).isNotNull(), F.col(order))
+    kept = F.max_by(F.struct(*[F.col(c) for c in df.columns]), place)
+    last = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(kept.alias("_kept")).select("_kept.*")
+    return last.unionByName(df.filter(F.col(key).isNull()))
 
 
 def clean_left(

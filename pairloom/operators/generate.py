@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.fixed_values import (
@@ -87,8 +87,8 @@ def _fields(ddl: str) -> str:
 
 def delivered(
     from_files: DataFrame | None = None, inline: DataFrame | None = None
-) -> DataFrame | None:
-    """File lines and inline responses as one table; None when there is neither.
+) -> DataFrame:
+    """File lines and inline responses as one table, empty when there is neither.
 
     Inline rows are ``(key, response)``; rows without a response are not delivered.
     """
@@ -104,24 +104,37 @@ def delivered(
             )
         )
     if not parts:
-        return None
+        empty = f"key string, response {RESPONSE_BODY}, bad_line boolean"
+        return SparkSession.active().createDataFrame([], empty)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
+def keyed_pairs(pairs: DataFrame, order: str | None = None) -> DataFrame:
+    """``pairs`` with their request key, one row per key: with ``order`` the last row of a
+    repeated key, without it keys are taken to be unique."""
+    keyed = pairs.withColumn("key", request_key())
+    return keyed if order is None else last_per_key(keyed, "key", order)
+
+
 def with_outcome(
     responses: DataFrame, pairs: DataFrame, order: str | None = None,
     min_chars: int = MIN_OUTPUT_CHARS,
 ) -> DataFrame:
-    """Every response with its pair, both outputs and one outcome label.
+    """Every response with its pair, both outputs and one outcome label."""
+    return judged(responses, keyed_pairs(pairs, order), min_chars=min_chars)
+
+
+def judged(
+    responses: DataFrame, keyed: DataFrame, keep: tuple[str, ...] = (),
+    min_chars: int = MIN_OUTPUT_CHARS,
+) -> DataFrame:
+    """Responses with ``keep``, both outputs, an outcome label and what ``keyed`` has for the key.
 
-    ``pairs`` is keyed by ``request_key``. With ``order`` the last row of a repeated
-    key is used; without it keys are taken to be unique. Lines without a usable key
-    match no pair and may be very many, so they stay out of the join: they would all
-    meet in one task. Parsing is done before the join, where rows are only responses.
+    ``keyed`` has one row per ``key``. Lines without a usable key match no pair and may be very
+    many, so they stay out of the join: they would all meet in one task. Parsing is done
+    before the join, where rows are only responses.
     """
-    pairs = pairs.withColumn("key", request_key()).withColumn("known", F.lit(True))
-    if order is not None:
-        pairs = last_per_key(pairs, "key", order)
+    pairs = keyed.withColumn("known", F.lit(True))
 
     def read(text: Column) -> Column:
         has_text = F.coalesce(text, F.lit("")) != ""
@@ -132,9 +145,9 @@ def with_outcome(
 
     usable = (F.col("key") != "") & ~F.col("bad_line")
     parsed = responses.filter(usable).select(
-        "key", F.inline(F.array(let(response_text(F.col("response")), read)))
+        "key", *keep, F.inline(F.array(let(response_text(F.col("response")), read)))
     ).select(
-        "key", "has_text",
+        "key", *keep, "has_text",
         F.col("pair.tailored_resume").alias("tailored_resume"),
         F.col("pair.cover_letter").alias("cover_letter"),
     )
@@ -151,7 +164,7 @@ def with_outcome(
         .withColumn("outcome", outcome).drop("known", "has_text")
     )
     keyless = responses.filter(~usable).select(
-        "key", F.when(F.col("bad_line"), "bad_line").otherwise("unknown_key").alias("outcome")
+        "key", *keep, F.when(F.col("bad_line"), "bad_line").otherwise("unknown_key").alias("outcome")
     )
     return joined.unionByName(keyless, allowMissingColumns=True)
 

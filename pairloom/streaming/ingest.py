@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairloom.operators.generate import generated, parse_lines, rejected, with_outcome
+from pairloom.operators.generate import generated, judged, keyed_pairs, parse_lines
+from pairloom.session import stored
 
 
-def response_stream(
-    spark: SparkSession,
-    folder: str,
-    redelivery_window: str = "14 days",
-    files_per_trigger: int = 1000,
-) -> DataFrame:
-    """Responses from JSON line files, each key once.
+def response_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Responses from JSON line files, with a ``place`` of their own and their arrival.
 
-    A file is read once by the stream's own log; keys delivered again in another file
-    are dropped for ``redelivery_window`` after arrival. The window runs on processing
-    time, so no row is ever too late and the state stays bounded. Lines without a
-    usable key are all kept, as they have to show up as failures. Each is told apart by
-    a uuid: its seed is fixed per micro-batch and partition and it is drawn straight
-    after the file scan, so a task that runs again draws the same ones.
+    A file is read once by the stream's own log. The place is a uuid: its seed is fixed per
+    micro-batch and partition and it is drawn straight after the file scan, so a task
+    that runs again draws the same ones.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    rows = parse_lines(lines.withColumn("place", F.uuid()), keep=("place",)).withColumn(
+    return parse_lines(lines.withColumn("place", F.uuid()), keep=("place",)).withColumn(
         "arrived", F.current_timestamp()
     )
-    usable = ~F.col("bad_line") & (F.col("key") != "")
+
+
+def outcome_stream(
+    responses: DataFrame, keys: DataFrame, redelivery_window: str = "14 days"
+) -> DataFrame:
+    """Responses with their outcome, each key accepted once.
+
+    The outcome comes first: a key counts as delivered only once a response for it is
+    good, so a good retry after a failed one is taken, and every failure is kept. Good
+    responses of a key that has one are dropped for ``redelivery_window`` after its
+    arrival. The window runs on processing time, so no row is ever too late and the state
+    stays bounded. ``keys`` is narrow, the known request keys.
+    """
+    rows = judged(responses.withWatermark("arrived", redelivery_window), keys, keep=("place", "arrived"))
+    once = F.when(F.col("outcome") == "ok", F.col("key")).otherwise(F.col("place"))
     return (
-        rows.withColumn("_once", F.when(usable, F.col("key")).otherwise(F.col("place")))
-        .withWatermark("arrived", redelivery_window)
-        .dropDuplicatesWithinWatermark(["_once"])
+        rows.withColumn("_once", once).dropDuplicatesWithinWatermark(["_once"])
         .drop("_once", "arrived", "place")
     )
 
@@ -44,29 +49,36 @@ def ingest(
     accepted_path: str,
     rejected_path: str,
     checkpoint: str,
-    **stream_options,
+    order: str | None = None,
+    redelivery_window: str = "14 days",
+    files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Read all files present, write accepted and rejected rows, stop.
 
-    Each micro-batch writes to a folder named by its number, so a batch run again
-    after a failure replaces its own output and nothing is doubled. ``checkpoint``
+    The pairs are keyed and written once, before the stream starts; with ``order`` the last pair
+    of a repeated key is the one. A micro-batch reads their keys alone, and their texts for
+    its accepted rows. Each micro-batch writes to a folder named by its number, so a batch run
+    again after a failure replaces its own output and nothing is doubled. ``checkpoint``
     must be on storage the whole cluster reaches.
     """
+    keyed = stored(keyed_pairs(pairs, order), "keyed-pairs")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        outcomes = with_outcome(batch, pairs).persist()
+        good = F.col("outcome") == "ok"
         try:
-            generated(outcomes).write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
-            rejected(outcomes).select("key", "outcome").write.mode("overwrite").parquet(
+            generated(batch.filter(good).join(keyed, "key")).write.mode("overwrite").parquet(
+                f"{accepted_path}/batch={number}"
+            )
+            batch.filter(~good).select("key", "outcome").write.mode("overwrite").parquet(
                 f"{rejected_path}/batch={number}"
             )
         finally:
-            outcomes.unpersist()
             batch.unpersist()
 
+    responses = response_stream(spark, folder, files_per_trigger)
     return (
-        response_stream(spark, folder, **stream_options)
+        outcome_stream(responses, keyed.select("key"), redelivery_window)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

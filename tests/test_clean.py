@@ -11,6 +11,25 @@ def test_dedup_keeps_the_least_id(spark):
     assert {r["id"] for r in got} == {1, 9, 4}
 
 
+def test_dedup_with_null_and_repeated_ids(spark):
+    rows = [(None, "only me"), (1, "a"), (2, "a"), (None, "a"), (3, "b"), (5, "b"), (5, "c")]
+    df = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    got = clean.dedup_keep_first(df, "t", "id").collect()
+    assert sorted((r["t"], r["id"]) for r in got) == [("a", 1), ("b", 3), ("c", 5), ("only me", None)]
+
+
+def test_dedup_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500).selectExpr("id", "cast(id % 50 as string) AS t").mapInArrow(count, "id long, t string")
+    assert clean.dedup_keep_first(df, "t", "id").count() == 50 and seen.value == 500
+
+
 def test_dedup_combines_copies_before_the_shuffle(spark):
     df = spark.range(10000).select("id", F.lit("copy").alias("t")).repartition(4)
     kept = clean.dedup_keep_first(df, "t", "id")
@@ -20,8 +39,9 @@ def test_dedup_combines_copies_before_the_shuffle(spark):
 
 
 def test_last_per_key(spark):
-    df = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 2, "z")], "k string, o int, v string")
-    assert {r["v"] for r in clean.last_per_key(df, "k", "o").collect()} == {"y", "z"}
+    rows = [("a", 1, "x"), ("a", 5, "y"), ("b", 2, "z"), ("c", None, "n"), ("d", None, "m"), ("d", 0, "o"), (None, 1, "p"), (None, 2, "q")]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    assert {r["v"] for r in clean.last_per_key(df, "k", "o").collect()} == {"y", "z", "n", "o", "p", "q"}
 
 
 def padded(words):

@@ -80,7 +80,8 @@ def test_both_delivery_shapes(spark):
     schema = schemas.RESPONSE
     inline = spark.createDataFrame([("k", (None, body())), ("gone", None)], schema)
     lines = spark.createDataFrame([(line("f", body()),)], "value string")
-    assert generate.delivered() is None
+    nothing = generate.delivered()
+    assert nothing.columns == generate.delivered(lines).columns and nothing.count() == 0
     assert {r["key"] for r in generate.delivered(lines, inline).collect()} == {"f", "k"}
     assert [r["key"] for r in generate.delivered(inline=inline).collect()] == ["k"]
 
@@ -119,12 +120,11 @@ def test_progress(spark):
 def test_stream_equals_batch_over_several_runs(spark, pairs, outcomes, tmp_path):
     landing, run = tmp_path / "in", {n: str(tmp_path / n) for n in ("ok", "bad", "log")}
     landing.mkdir()
-    unique = pairs.filter("idx <> 3")
     lines = [l for l, _ in LINES]
 
     def take(name, part):
         (landing / name).write_text("\n".join(part) + "\n")
-        ingest(spark, str(landing), unique, run["ok"], run["bad"], run["log"]).awaitTermination()
+        ingest(spark, str(landing), pairs, run["ok"], run["bad"], run["log"], order="idx").awaitTermination()
 
     take("a.jsonl", lines[:6])
     take("b.jsonl", lines[6:] + lines[:2])  # two keys delivered again
@@ -135,6 +135,19 @@ def test_stream_equals_batch_over_several_runs(spark, pairs, outcomes, tmp_path)
     assert bad == sorted(o for _, o in LINES if o != "ok")
 
 
+def test_good_retry_after_a_failed_delivery(spark, pairs, tmp_path):
+    landing, run = tmp_path / "in", {n: str(tmp_path / n) for n in ("ok", "bad", "log")}
+    landing.mkdir()
+    deliveries = ["no json here", body("short"), body(), body(LONG + "again")]
+    for n, text in enumerate(deliveries):
+        (landing / f"{n}.jsonl").write_text(line("resume_5_job_7", text) + "\n")
+        ingest(spark, str(landing), pairs, run["ok"], run["bad"], run["log"], order="idx").awaitTermination()
+    made = spark.read.parquet(run["ok"] + "/*").collect()
+    assert [(r["resume_id"], r["tailored_resume"]) for r in made] == [(5, LONG)]
+    bad = sorted(r["outcome"] for r in spark.read.parquet(run["bad"] + "/*").collect())
+    assert bad == ["too_short", "unparsable"]
+
+
 def test_batch_files(spark, pairs, tmp_path):
     rows = generate.requests(pairs.withColumn("batch_id", F.col("resume_id") % 3), keep=("batch_id",))
     tables.write_batches(rows, str(tmp_path / "out"))
