@@ -9,11 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.sources.tables import read_table, spread
+from pairloom.sources.tables import read_table
 
 BAD_TURN = 4
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt by a unique key: the driver's tables may be one file of one row group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *key)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(read_table(spark, folder, "documents"), "doc_id")
 

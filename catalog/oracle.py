@@ -270,6 +270,15 @@ labelled AS (
 """
 _KIND = "regexp_replace(regexp_replace(issue, ' \\(\\d+ chars\\)\\z', ''), ':.*\\z', '')"
 
+REPORT = f"""WITH {QUALITY} SELECT count(*) AS total_examples,
+            count(*) FILTER (WHERE issue IS NULL) AS valid_count, count(issue) AS invalid_count,
+            round(count(*) FILTER (WHERE issue IS NULL) / count(*) * 100, 6) AS valid_percentage,
+            (SELECT string_agg(kind || '=' || n, ';' ORDER BY kind) FROM
+              (SELECT {_KIND} AS kind, count(*) AS n FROM labelled WHERE issue IS NOT NULL GROUP BY 1)) AS reasons,
+            (SELECT string_agg(idx || ':' || issue || ':' || md5(tailored_resume), '|' ORDER BY idx) FROM
+              (SELECT * FROM labelled WHERE issue IS NOT NULL ORDER BY idx LIMIT 10)) AS first_examples
+            FROM labelled"""
+
 # ------------------------------------------------------------------ training text
 
 _TRAINING_FIELDS = {
@@ -563,6 +572,9 @@ def oracle_sql() -> dict[str, str]:
         "response_outcomes": f"WITH {RESPONSES} SELECT key, outcome, tailored_resume, cover_letter FROM outcomes",
         "ingest_rows": INGEST_ROWS,
         "ingest_stream": INGEST_ROWS,
+        "ingest_rejected": f"WITH {RESPONSES} SELECT key, outcome FROM outcomes WHERE outcome <> 'ok'",
+        "ingest_inline": f"""WITH {RESPONSES} SELECT key, outcome, tailored_resume, cover_letter FROM outcomes
+            WHERE outcome <> 'bad_line'""",
         "outcome_counts": f"""WITH {RESPONSES} SELECT outcome, count(*) AS responses,
             round(count(*) / (SELECT count(*) FROM exchanges) * 100, 6) AS pct_of_sent
             FROM outcomes GROUP BY outcome""",
@@ -596,15 +608,8 @@ def oracle_sql() -> dict[str, str]:
             max(length(tailored_resume))::INTEGER AS resume_max, round(avg(length(cover_letter)), 6) AS letter_mean,
             min(length(cover_letter))::INTEGER AS letter_min, max(length(cover_letter))::INTEGER AS letter_max
             FROM labelled WHERE issue IS NULL""",
-        "quality_report": f"""WITH {QUALITY} SELECT count(*) AS total_examples,
-            count(*) FILTER (WHERE issue IS NULL) AS valid_count, count(issue) AS invalid_count,
-            round(count(*) FILTER (WHERE issue IS NULL) / count(*) * 100, 6) AS valid_percentage,
-            count(DISTINCT issue) AS reasons, count(issue) AS failures,
-            (SELECT string_agg(idx, ',' ORDER BY idx) FROM
-              (SELECT idx FROM labelled WHERE issue IS NOT NULL ORDER BY idx LIMIT 10)) AS first_indexes
-            FROM labelled""",
-        "report_file": f"""WITH {QUALITY} SELECT count(*) AS total_examples,
-            count(*) FILTER (WHERE issue IS NULL) AS valid_count, count(issue) AS invalid_count FROM labelled""",
+        "quality_report": REPORT,
+        "report_file": REPORT,
         "instruction_records": f"""WITH {RECORDS} SELECT instruction, output, resume_id, job_id,
             similarity_score FROM records""",
         "chat_records": f"""WITH {RECORDS} SELECT idx, 0 AS position, 'user' AS role, instruction AS content FROM records
@@ -663,11 +668,21 @@ def oracle_sql() -> dict[str, str]:
         "csv_round_trip": f"""SELECT doc_id AS "ID", t AS "Resume_str"
             FROM (SELECT doc_id, {clean("text")} AS t FROM documents) WHERE length(t) > 100""",
         "jsonl_round_trip": f"""WITH {BASE} SELECT resume_id, job_id, similarity_score,
-            original_resume AS resume_text, job_title, job_description, job_skills FROM base""",
-        "json_document_scan": f"""WITH {RESULTS} SELECT resume_id, job_id, tailored_resume, ground_truth_resume
-            FROM results""",
-        "request_files": f"""WITH {BASE} {BATCHED} SELECT 'resume_' || resume_id || '_job_' || job_id AS key, batch_id
-            FROM batched""",
+            original_resume AS resume_text, job_title, job_description, job_skills,
+            CAST(NULL AS VARCHAR) AS company_name, CAST(NULL AS VARCHAR) AS location,
+            CAST(NULL AS VARCHAR) AS experience_level FROM base""",
+        "json_document_scan": f"""WITH {RESULTS} SELECT resume_id, job_id, original_resume, job_title, job_description,
+            tailored_resume, cover_letter, ground_truth_resume, ground_truth_cover_letter FROM results""",
+        "metrics_report_file": evaluate_plain(),
+        "evaluate_without_truth": evaluate_plain() + " WHERE section LIKE 'length%' OR section LIKE 'keyword%'",
+        "evaluate_vectors": f"""WITH {RESULTS}, cosines AS (
+              SELECT list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c
+              FROM results JOIN embeddings a ON a.vec_id = resume_id % (SELECT count(*) FROM embeddings)
+              JOIN embeddings b ON b.vec_id = (resume_id + 1) % (SELECT count(*) FROM embeddings))
+            SELECT section, metric, round(value, 6) AS value FROM
+              (SELECT 'semantic_similarity_mean' AS metric, avg(c) AS value FROM cosines
+               UNION ALL SELECT 'semantic_similarity_std', stddev_pop(c) FROM cosines),
+              (SELECT unnest(['semantic_similarity_resume', 'semantic_similarity_cover']) AS section)""",
     }
     prompt = template(
         TEACHER_TEMPLATE, resume_text=blank("original_resume"), job_title=blank("job_title"),
@@ -676,5 +691,7 @@ def oracle_sql() -> dict[str, str]:
     key = "'resume_' || resume_id || '_job_' || job_id"
     sql["request_lines"] = f"""WITH {BASE} SELECT {key} AS key, {prompt} AS prompt, 'user' AS role,
         0.7::DOUBLE AS temperature, 8000 AS max_output_tokens FROM base"""
+    sql["request_files"] = f"""WITH {BASE} {BATCHED} SELECT {key} AS key, batch_id, {prompt} AS prompt, 'user' AS role,
+        0.7::DOUBLE AS temperature, 8000 AS max_output_tokens FROM base JOIN batched USING (resume_id, job_id)"""
     sql["request_json"] = f"WITH {BASE} SELECT {key} AS key, md5({prompt}) AS prompt_md5 FROM base"
     return sql

@@ -227,6 +227,28 @@ def ingest_stream(spark, folder):
     return spark.read.schema(schemas.GENERATED).parquet(f"{accepted}/*").drop("timestamp")
 
 
+@query
+def ingest_rejected(spark, folder):
+    """What the stream turned away."""
+    root = new_folder(spark, "landing")
+    fx.response_lines(spark, folder).write.text(f"{root}/in")
+    run = ingest(
+        spark, f"{root}/in", fx.full_pairs(spark, folder), f"{root}/accepted", f"{root}/rejected", f"{root}/checkpoint",
+        order="idx",
+    )
+    run.awaitTermination()
+    return spark.read.schema("key string, outcome string").parquet(f"{root}/rejected/*")
+
+
+@query
+def ingest_inline(spark, folder):
+    """The same responses handed over as a table of keys and records."""
+    lines = generate.parse_lines(fx.response_lines(spark, folder))
+    inline = lines.filter(~F.col("bad_line")).select("key", "response")
+    rows = generate.with_outcome(generate.delivered(inline=inline), fx.full_pairs(spark, folder), order="idx")
+    return rows.select("key", "outcome", "tailored_resume", "cover_letter")
+
+
 @query
 def batch_progress(spark, folder):
     outcomes = _outcomes(spark, folder).filter(F.col("outcome") == "ok").select(
@@ -287,20 +309,25 @@ def valid_length_stats(spark, folder):
     )
 
 
-@query
-def quality_report(spark, folder):
-    report = quality.report(_labelled(spark, folder), "idx")
+def _report_columns(report):
+    """A report record flat: counts, reasons as text, the rejected examples as text."""
+    reasons = F.array_sort(F.map_entries("failure_reasons"))
+    example = lambda e: F.concat_ws(
+        ":", e["index"].cast("string"), F.get(e["issues"], F.lit(0)), F.md5(e["example"]["tailored_resume"]))
     return report.select(
         "total_examples", "valid_count", "invalid_count",
         F.round("valid_percentage", 6).alias("valid_percentage"),
-        F.size("failure_reasons").cast("bigint").alias("reasons"),
-        F.aggregate(F.map_values("failure_reasons"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("failures"),
-        F.array_join(
-            F.transform("invalid_examples", lambda e: e["index"].cast("string")), ","
-        ).alias("first_indexes"),
+        F.array_join(F.transform(reasons, lambda r: F.concat(r["key"], F.lit("="), r["value"].cast("string"))), ";")
+        .alias("reasons"),
+        F.array_join(F.transform("invalid_examples", example), "|").alias("first_examples"),
     )
 
 
+@query
+def quality_report(spark, folder):
+    return _report_columns(quality.report(_labelled(spark, folder), "idx"))
+
+
 # ------------------------------------------------------------------ prepare
 
 
@@ -531,9 +558,7 @@ def csv_round_trip(spark, folder):
 def jsonl_round_trip(spark, folder):
     path = new_folder(spark, "jsonl")
     tables.write_jsonl(fx.full_pairs(spark, folder).drop("idx"), path)
-    return tables.read_jsonl(spark, path, schemas.FULL_PAIRS).drop(
-        "company_name", "location", "experience_level"
-    )
+    return tables.read_jsonl(spark, path, schemas.FULL_PAIRS)
 
 
 @query
@@ -541,8 +566,7 @@ def json_document_scan(spark, folder):
     """Results stored as JSON arrays and read back as whole documents."""
     path = new_folder(spark, "documents")
     tables.write_json_documents(fx.results(spark, folder), path, "idx")
-    stored = tables.read_json_document(spark, path, schemas.RESULT)
-    return stored.select("resume_id", "job_id", "tailored_resume", "ground_truth_resume")
+    return tables.read_json_document(spark, path, schemas.RESULT).drop("shard")
 
 
 @query
@@ -563,11 +587,73 @@ def request_files(spark, folder):
     ready = fx.full_pairs(spark, folder).join(_batched(spark, folder), ["resume_id", "job_id"])
     tables.write_batches(generate.requests(ready, keep=("batch_id",)), path)
     stored = spark.read.schema(schemas.REQUEST + ", batch_id bigint").json(path)
-    return stored.select("key", "batch_id")
+    content, config = F.get("request.contents", F.lit(0)), F.col("request.generation_config")
+    return stored.select(
+        "key", "batch_id", F.get(content["parts"], F.lit(0))["text"].alias("prompt"), content["role"].alias("role"),
+        config["temperature"].alias("temperature"), config["max_output_tokens"].alias("max_output_tokens"),
+    )
 
 
 @query
 def report_file(spark, folder):
     path = new_folder(spark, "report")
     tables.write_report(quality.report(_labelled(spark, folder), "idx"), path)
-    return spark.read.schema("total_examples bigint, valid_count bigint, invalid_count bigint").json(path)
+    back = spark.read.schema(
+        "total_examples bigint, valid_count bigint, invalid_count bigint, valid_percentage double, "
+        "failure_reasons map<string, bigint>, invalid_examples array<struct<index: bigint, issues: array<string>, "
+        "example: struct<tailored_resume: string>>>"
+    ).json(path)
+    return _report_columns(back)
+
+
+METRICS = "map<string, map<string, double>>"
+
+
+@query
+def metrics_report_file(spark, folder):
+    """The metrics of a run written as one record and read back as rows."""
+    path = new_folder(spark, "metrics")
+    rows = evaluate.evaluate(fx.results(spark, folder), stemmed=False)
+    tables.write_report(evaluate.metrics_report(rows), path)
+    back = spark.read.schema(f"metrics {METRICS}").json(path)
+    return (
+        back.select(F.explode("metrics").alias("section", "inner"))
+        .select("section", F.explode("inner").alias("metric", "value"))
+        .withColumn("value", F.round("value", 6))
+    )
+
+
+@query
+def compare_report(spark, folder):
+    """Two whole runs compared, as one record written and read back."""
+    path = new_folder(spark, "comparison")
+    runs = [evaluate.evaluate(run(spark, folder), stemmed=False) for run in (fx.results, fx.baseline_results)]
+    tables.write_report(evaluate.comparison_report(*[stored(run, "metrics") for run in runs]), path)
+    back = spark.read.schema(f"fine_tuned {METRICS}, baseline {METRICS}, improvements map<string, double>").json(path)
+    value = lambda side: F.round(F.col(side)["rouge_resume"][F.col("metric")], 6)
+    return back.select("fine_tuned", "baseline", F.explode("improvements").alias("metric", "improvement")).select(
+        "metric", value("fine_tuned").alias("fine_tuned"), value("baseline").alias("baseline"),
+        F.round("improvement", 6).alias("improvement"),
+    )
+
+
+@query
+def evaluate_without_truth(spark, folder):
+    """Without any reference, lengths and overlaps are all that counts."""
+    blank = fx.results(spark, folder).withColumn("ground_truth_resume", F.lit(""))
+    return evaluate.evaluate(blank, stemmed=False).withColumn("value", F.round("value", 6))
+
+
+@query
+def evaluate_vectors(spark, folder):
+    """The vector part of a run: every result has a vector, the next one is its reference."""
+    vectors = tables.read_table(spark, folder, "embeddings")
+    n = vectors.agg(F.count(F.lit(1))).scalar()
+    results = fx.results(spark, folder).withColumn("vec_id", F.col("resume_id") % n).withColumn(
+        "next_id", (F.col("resume_id") + 1) % n)
+    made = vectors.select("vec_id", F.col("embedding").alias("made"))
+    truth = vectors.select(F.col("vec_id").alias("next_id"), F.col("embedding").alias("truth"))
+    rows = results.join(made, "vec_id").join(truth, "next_id")
+    metrics = evaluate.evaluate(
+        rows, {"resume": ("made", "truth"), "cover_letter": ("truth", "made")}, stemmed=False)
+    return metrics.filter(F.col("section").startswith("semantic")).withColumn("value", F.round("value", 6))

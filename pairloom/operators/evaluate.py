@@ -255,7 +255,7 @@ def evaluate(
             tokens.append(cosine(*[F.col(v) for v in vectors[side]]).alias(f"{side}_cosine"))
             scores.append(F.col(f"{side}_cosine"))
             metrics += _spread_metrics(
-                f"semantic_similarity_{side}", "semantic_similarity", f"{side}_cosine", True
+                f"semantic_similarity_{side.split('_')[0]}", "semantic_similarity", f"{side}_cosine", True
             )
     prediction, truth = SIDES[0][1:]
     for name, target in (
@@ -307,6 +307,17 @@ def compare(tuned: DataFrame, baseline: DataFrame, section: str = "rouge_resume"
     )
 
 
+def comparison_report(tuned: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Two runs and their improvements as one nested record."""
+    improvements = compare(tuned, baseline).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "improvement")))).alias("i")
+    )
+    return metrics_report(tuned).select(
+        F.col("metrics").alias("fine_tuned"), metrics_report(baseline).scalar().alias("baseline"),
+        improvements.scalar().alias("improvements"),
+    )
+
+
 def metrics_report(metrics: DataFrame) -> DataFrame:
     """Metric rows as one nested record ``{section: {metric: value}}``, a few dozen numbers."""
     inner = metrics.groupBy("section").agg(

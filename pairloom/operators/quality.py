@@ -12,6 +12,7 @@ from pairloom.fixed_values import (
     NOVELTY_STOP_WORDS, REQUIRED_FIELDS, STRUCTURE_MESSAGE,
 )
 from pairloom.functions.text import let, mentions_any, novel_word_ratio, paragraphs
+from pairloom.session import stored
 
 
 def required_fields(fields: Iterable[str] = REQUIRED_FIELDS) -> Column:
@@ -143,11 +144,15 @@ def valid_length_stats(labelled_df: DataFrame) -> DataFrame:
 def report(labelled_df: DataFrame, order: str, n: int = 10) -> DataFrame:
     """The one nested report record: counts, reasons and the first ``n`` rejected rows.
 
-    Reasons are a map of message to count. Messages hold lengths, so their number is
-    bounded by the length bounds, not by the rows.
+    Reasons are a map of the kind of issue to its count: one entry per check. Messages with their
+    lengths may be very many; they are the rows of ``histogram``. The cascade runs once, as
+    its result is written first.
     """
-    reasons = histogram(labelled_df).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("issue", "examples")))).alias("r")
+    labelled_df = stored(labelled_df, "labelled")
+    reasons = (
+        labelled_df.filter(F.col("issue").isNotNull())
+        .groupBy(issue_kind(F.col("issue")).alias("kind")).agg(F.count(F.lit(1)).alias("examples"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "examples")))).alias("r"))
     )
     columns = [c for c in labelled_df.columns if c not in ("issue", order)]
     examples = first_invalid(labelled_df, order, n).agg(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.session import shared_folder
+from pairloom.session import shared_folder, stored
 
 HISTOGRAM_BUCKETS = 4096
 
@@ -162,18 +162,22 @@ def split_exact(
 ) -> DataFrame:
     """Seeded shuffle cut into exactly floor(n*a), floor(n*b) and the remaining rows.
 
-    Only the two cut points are computed; each row then compares its own hash with
-    them, so the rows themselves never move. ``key`` names one or more bigint columns,
-    unique together; they also settle equal hashes.
+    Only the two cut points are computed, from the narrow keys, which are written once; each row
+    then compares its own hash with them, so the rows themselves never move and ``df`` is
+    read twice in all. ``key`` names one or more bigint columns, unique together; they also
+    settle equal hashes.
     """
     if abs(sum(ratios) - 1.0) >= 1e-6:
         raise ValueError("ratios must sum to 1")
     columns = [key] if isinstance(key, str) else list(key)
-    total = df.count()
+    keys = [hash_to_long(seeded_hash(seed, *columns)), *[F.col(c) for c in columns]]
+    names_of = [f"k{i}" for i in range(len(keys))]
+    narrow = stored(df.select(*[k.alias(n) for k, n in zip(keys, names_of)]), "split-keys")
+    total = narrow.count()
     first = int(total * ratios[0])
     second = first + int(total * ratios[1])
-    keys = [hash_to_long(seeded_hash(seed, *columns)), *[F.col(c) for c in columns]]
-    first_cut, second_cut = cut_point(df, keys, first), cut_point(df, keys, second)
+    held = [F.col(n) for n in names_of]
+    first_cut, second_cut = cut_point(narrow, held, first), cut_point(narrow, held, second)
     label = F.lit(names[2])
     if second_cut:
         label = F.when(second_cut.at_or_before(keys), names[1]).otherwise(label)

@@ -63,17 +63,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *key: str, few: int = 16) -> DataFrame:
-    """A small table with fewer input splits than cores, spread by a unique key.
-
-    Fewer than ``few`` splits is a table of some gigabytes at most. Anything larger
-    passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores, *key) if splits < min(cores, few) else df
-
-
 def write_splits(df: DataFrame, path: str, form: str = "parquet", split: str = "split") -> None:
     """One folder per split value, as parquet or JSON lines."""
     if form not in ("parquet", "json"):

@@ -198,3 +198,12 @@ def test_compare(spark):
     b = spark.createDataFrame([("rouge_resume", "rouge1_fmeasure", 0.5), ("rouge_resume", "rouge2_fmeasure", 0.0)], schema)
     got = {r["metric"]: r["improvement"] for r in evaluate.compare(a, b).collect()}
     assert got == {"rouge1_fmeasure": pytest.approx(20.0), "rouge2_fmeasure": 0.0}
+
+
+def test_comparison_report(spark):
+    schema = "section string, metric string, value double"
+    run = lambda f, l: spark.createDataFrame(
+        [("rouge_resume", "rouge1_fmeasure", f), ("rouge_resume", "rougeL_fmeasure", l), ("rouge_resume", "rouge1_recall", 0.1), ("bleu_resume", "bleu", 5.0)], schema)
+    got = evaluate.comparison_report(run(0.6, 0.4), run(0.5, 0.0)).first()
+    assert got["fine_tuned"]["rouge_resume"]["rouge1_fmeasure"] == 0.6 and got["baseline"]["bleu_resume"]["bleu"] == 5.0
+    assert {k: round(v, 6) for k, v in got["improvements"].items()} == {"rouge1_fmeasure": 20.0, "rougeL_fmeasure": 0.0}

@@ -96,8 +96,8 @@ def test_length_stats(labelled):
 
 def test_report_record(labelled):
     row = quality.report(labelled, "idx").first()
-    issues = [issue for _, issue in CASES if issue]
-    assert row["failure_reasons"] == {i: issues.count(i) for i in issues}
+    kinds = [re.sub(r" \(\d+ chars\)$|:.*$", "", issue) for _, issue in CASES if issue]
+    assert row["failure_reasons"] == {k: kinds.count(k) for k in kinds}
     first = row["invalid_examples"][0]
     assert (first["index"], first["issues"]) == (1, [CASES[1][1]])
     assert first["example"]["original_resume"] == TEXT
