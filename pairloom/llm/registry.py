@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import bpe, decontaminate, katz, licenses, neardup, quality, secrets, tokenbin, toxicity, urls
 from pairloom.llm.batches import crc32_remainder
+from pairloom.llm.oracle import ORACLE
 
 QUERIES = {}
-ORACLE: dict[str, str] = {}
 
 # The rules of the URL query.
 URL_RULES = [
