@@ -13,6 +13,8 @@ ranges of the document id; nothing else is shuffled but sums per segment.
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Sequence
@@ -26,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
 from pairloom.llm.batches import pieces, ragged
+from pairloom.llm.words import SPACED, WordTable
 from pairloom.session import new_folder
 
 # Ids per word and bits per id of selectors 1 to 15. Selector 1 packs zeros.
@@ -34,32 +37,34 @@ WIDTHS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC = b"S8B1"
 BLOCK = 1 << 14
 SEGMENT_IDS = 1 << 20
-CACHE = 200_000
+HELD_WORDS = 1_200_000
+STOPS = (b".", b",", b";", b":", b"!", b"?")
 
 
 def _greedy(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First id and selector of every word of one block: at each place the fullest word."""
     n = len(ids)
-    choice = np.full(n, 15, np.int64)
-    choice[ids >= 1 << 60] = 0
+    # bits of each id; rounding may call an id of 60 bits wider, which then is escaped
+    bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    choice = np.full(n, 15, np.uint8)
+    choice[bits > 60] = 0
+    widest, width = bits, 1  # most bits of any of ``width`` ids from each place on
     for s in range(14, 0, -1):
-        count = COUNTS[s]
-        if count > n:
-            continue
-        wide = np.where(ids >> np.uint64(WIDTHS[s]) != 0, np.arange(n), n)
-        next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = next_wide - np.arange(n) >= count
-        fits[n - count + 1:] = False
-        if not fits.any():
+        count = int(COUNTS[s])
+        while width < count and width < n:
+            step = min(width, count - width)
+            widest, width = np.maximum(widest[:-step], widest[step:]), width + step
+        fits = widest <= WIDTHS[s]
+        if width < count or not fits.any():
             break
-        choice[fits] = s
+        choice[:len(fits)][fits] = s
     step = COUNTS[choice].tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += step[at]
     first = np.array(starts, np.int64)
-    return first, choice[first]
+    return first, choice[first].astype(np.int64)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -113,26 +118,80 @@ def unpack(payload: bytes, first_block: int = 0, blocks: int | None = None) -> n
     return out
 
 
-class WordEncoder:
-    """A tokenizer whose tokens never reach across a space or line end, with a cache of words.
+class WordEncoder(WordTable):
+    """Ids of words for a tokenizer that ignores case, whose tokens never reach across white space
+    and whose pretokens end with a token of their own kind.
 
-    Its string form of the special tokens is ordinary text here.
+    Its string form of the special tokens is ordinary text here. A stop behind a word of letters is a
+    pretoken by itself, so such a word takes the ids of the word and those of the stop.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list({w for words in split for w in words}.difference(self.cache))
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join([self.cache[w] for w in words]) for words in split]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        super().__init__(SPACED, HELD_WORDS)
+
+    def clear(self):
+        super().clear()
+        self.ids = np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and ids per word."""
+        every = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        sizes = np.array([len(e.ids) for e in every], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in every), np.uint32, int(sizes.sum())), sizes
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are one pretoken each, as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        # a letter may turn into two pretokens when its case changes
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._encoded(words)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number) + 1, len(self.number) + 1 + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _numbers(self, words):
+        new = [w for w in words if w not in self.number]
+        if new:
+            plain, odd, stopped = {}, [], []
+            for w in new:
+                text = w.decode()
+                if text.isalpha():
+                    plain[w] = text
+                elif w[-1:] in STOPS and text[:-1].isalpha():
+                    stopped.append(w)
+                else:
+                    odd.append(w)
+            for w in stopped:
+                if w[:-1] not in self.number:
+                    plain[w[:-1]] = w[:-1].decode()
+            odd += [s for s in {w[-1:] for w in stopped}.difference(odd) if s not in self.number]
+            listed = list(plain.values())
+            made = [self._letters(listed[k:k + 1000]) for k in range(0, len(listed), 1000)]
+            made.append(self._encoded([w.decode() for w in odd]))
+            self._add([*plain, *odd], *(np.concatenate(m) for m in zip(*made)))
+            if stopped:
+                two = np.array([(self.number[w[:-1]], self.number[w[-1:]]) for w in stopped]).ravel()
+                size = self.size[two]
+                self._add(stopped, self.ids[ragged(self.first[two], size)], size.reshape(-1, 2).sum(axis=1))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """32-bit ids of every text."""
+        numbers = self.texts(texts)
+        flat = np.concatenate([*numbers, np.empty(0, np.int64)])
+        size = self.size[flat]
+        ids = self.ids[ragged(self.first[flat], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(n) for n in numbers], dtype=np.int64)]
+        return np.split(ids, ends[:-1]) if len(texts) else []
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -141,6 +200,7 @@ _encoders: dict[int, WordEncoder] = {}
 def _encoder(definition: str) -> WordEncoder:
     key = hash(definition)
     if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[key] = WordEncoder(definition)
     return _encoders[key]
 
@@ -168,12 +228,12 @@ def write_ids(
 
     def run(batches):
         encoder, arrow = _encoder(definition.value), to_arrow_schema(schema)
-        tail, number, held, ids = np.array([end], "<u4").tobytes(), 0, 0, []
-        texts: list[bytes] = []
+        tail, number, held, ids = np.array([end], np.uint32), 0, 0, []
+        texts: list[np.ndarray] = []
 
         def segment():
-            lengths = [len(t) // 4 for t in texts]
-            flat = np.frombuffer(b"".join(texts), "<u4")
+            lengths = [len(t) + 1 for t in texts]
+            flat = np.concatenate([x for t in texts for x in (t, tail)])
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(
                     ([ids], [number], [len(flat)], [lengths], [pack(flat)]), arrow, strict=True)], schema=arrow)
@@ -182,12 +242,12 @@ def write_ids(
             for a, b in pieces(batch.column(1)):
                 encoded = encoder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 for key, one in zip(batch.column(0).slice(a, b - a).to_pylist(), encoded, strict=True):
-                    if texts and held + len(one) > 4 * SEGMENT_IDS:
+                    if texts and held + len(one) > SEGMENT_IDS:
                         yield segment()
                         number, held, ids, texts = number + 1, 0, [], []
                     ids.append(key)
-                    texts.append(one + tail)
-                    held += len(one) + 4
+                    texts.append(one)
+                    held += len(one) + 1
         if texts:
             yield segment()
 

@@ -14,9 +14,9 @@ SPACED = bytes(32 if 9 <= b <= 13 else _LOWER[b] for b in range(256))
 PLAIN = bytes(_LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def split_words(texts: list[str], table: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words, the number among them of each word in order, and words per text."""
-    plain = pa.array([t.encode().translate(table).strip() for t in texts], pa.large_string())
+    plain = pa.array([t.strip() for t in texts], pa.large_string())
     split = pc.ascii_split_whitespace(plain)
     # splitting an empty text gives one empty word
     sizes = np.where(pc.binary_length(plain).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0)
@@ -40,9 +40,13 @@ class WordTable:
         earlier call are then void."""
         if len(self.number) > self.held:
             self.clear()
-        distinct, places, sizes = split_words(texts, self.table)
+        distinct, places, sizes = split_words([self.prepared(t.encode()) for t in texts])
         return np.split(self._numbers(distinct)[places], np.cumsum(sizes)[:-1]) if texts else []
 
+    def prepared(self, text: bytes) -> bytes:
+        """A text with its words as they count, white space between them."""
+        return text.translate(self.table)
+
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         new = [w for w in words if w not in self.number]
         if new:
