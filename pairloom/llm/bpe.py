@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Sequence
 
@@ -24,32 +25,32 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairloom.llm.batches import map_texts
+from pairloom.llm.batches import map_texts, ragged
 
 MEMORY = "160MB"
-CACHE = 150_000
+HELD = 1_000_000
 LONG_PIECE = 48
 LONG_STEPS = 24
 LONG_BATCH = 1 << 17
-# A chunk ends where white space follows something else. No pretoken reaches across that
-# place, so chunks are cut into pretokens one by one. The four controls are white space to
-# Python alone; texts with them are taken as one chunk.
-CHUNK = re.compile(r"\s*\S+|\s+")
+# A chunk ends where white space follows something else, or where a plain run of letters and
+# digits ends before a stop. No pretoken reaches across such a place, so chunks are cut into
+# pretokens one by one. The four controls are white space to Python alone; texts with them
+# are taken as one chunk.
+CHUNK = re.compile(r"\s*[^\W_]+(?=[\s.,;:!?]|\Z)|\s*\S+|\s+")
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
+# One row per piece and step; its tokens are unnested into positions to meet the pairs.
 STEP = """
-WITH RECURSIVE step(w, p, t, n) AS (
-  SELECT w, p, t, 0 FROM bytes
+WITH RECURSIVE step(w, ids, n) AS (
+  SELECT w, ids, 0 FROM pieces
   UNION ALL
-  (WITH pairs AS (SELECT w, p, t, n, lead(t) OVER o AS r, lag(p) OVER o AS before
-                  FROM step WINDOW o AS (PARTITION BY w ORDER BY p)),
-   ranked AS (SELECT pairs.*, m FROM pairs LEFT JOIN merges ON t = merges.l AND pairs.r = merges.r),
-   best AS (SELECT *, min(struct_pack(m := m, p := p)) FILTER (m IS NOT NULL) OVER (PARTITION BY w) AS b
-            FROM ranked)
-   SELECT w, p, CASE WHEN p = b.p THEN b.m ELSE t END, n + 1
-   FROM best WHERE b IS NOT NULL AND before IS DISTINCT FROM b.p)
-), final AS (SELECT w, max(n) AS n FROM step GROUP BY w)
-SELECT w, list(t ORDER BY p) AS ids FROM step JOIN final USING (w, n) GROUP BY w
+  (WITH pairs AS (SELECT w, unnest(ids[:-2]) AS l, unnest(ids[2:]) AS r, unnest(range(1, len(ids))) AS p FROM step),
+   best AS (SELECT w, min(m * 65536::BIGINT + p) AS b FROM pairs
+            JOIN merges ON pairs.l = merges.l AND pairs.r = merges.r GROUP BY w)
+   SELECT w, ids[:b % 65536 - 1] || [(b // 65536)::INTEGER] || ids[b % 65536 + 2:], n + 1
+   FROM step JOIN best USING (w))
+)
+SELECT w, arg_max(ids, n) FROM step GROUP BY w
 """
 
 # For long pieces: where no pair with the merged token ranks lower than that token, its other
@@ -109,7 +110,14 @@ class Coder:
             "id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks],
         }))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
-        self.cache: dict[str, tuple[str, bytes]] = {}
+        self.decimal = np.array([str(i) for i in range(max(ranks.values()) + 1)], object)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the chunks met so far."""
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _table(self, name: str, **columns) -> None:
         self.con.register("given", pa.table({c: pa.array(v, pa.int32()) for c, v in columns.items()}))
@@ -145,7 +153,10 @@ class Coder:
         out = {b"": []}
         for at in range(0, len(short), 20_000):
             part = short[at:at + 20_000]
-            self.con.register("bytes", self._bytes(part))
+            ends = np.cumsum([0] + [len(p) for p in part]).astype(np.int32)
+            tokens = self.single[np.frombuffer(b"".join(part), np.uint8)]
+            self.con.register("pieces", pa.table({
+                "w": np.arange(len(part), dtype=np.int32), "ids": pa.ListArray.from_arrays(ends, tokens)}))
             out.update((part[w], ids) for w, ids in self.con.execute(STEP).fetchall())
         group: list[bytes] = []
         for piece in [p for p in distinct if len(p) > LONG_PIECE] + [None]:
@@ -156,27 +167,40 @@ class Coder:
                 group.append(piece)
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [c for c in chunks if c not in self.cache]
-        cut = [[w.encode() for w in self.pattern.findall(c)] for c in new]
-        ids = self.encode_pieces(w for words in cut for w in words)
-        for chunk, words in zip(new, cut, strict=True):
-            own = [i for w in words for i in ids[w]]
-            self.cache[chunk] = (",".join(map(str, own)), np.array(own, "<i4").tobytes())
-
-    def encode(self, texts: Sequence[str]) -> list[tuple[str, np.ndarray]]:
-        """Decimal ids joined by commas, and the ids, of every text."""
-        out = []
-        chunked = [
-            [t] if ODD_SPACE.search(t) else CHUNK.findall(t) for t in texts
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode those of the distinct chunks that are new."""
+        new = [c for c in chunks if c not in self.number]
+        if not new:
+            return
+        cut = [
+            [c.encode()] if (c[1:] if c[0] == " " else c).isalpha() else [w.encode() for w in self.pattern.findall(c)]
+            for c in new
         ]
-        self._learn({c for chunks in chunked for c in chunks})
-        for chunks in chunked:
-            found = [self.cache[c] for c in chunks]
-            out.append((",".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), "<i4")))
-        return out
+        ids = self.encode_pieces(w for words in cut for w in words)
+        own = [ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]] for words in cut]
+        size = np.array([len(o) for o in own], np.int64)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(own), np.int32, int(size.sum()))])
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        if len(self.number) > HELD:
+            self.clear()
+        chunked = [[t] if ODD_SPACE.search(t) else CHUNK.findall(t) for t in texts]
+        flat = pa.array(itertools.chain.from_iterable(chunked), pa.large_string()).dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        self._learn(distinct)
+        at = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[flat.indices.to_numpy()]
+        size = self.size[at]
+        ids = self.ids[ragged(self.first[at], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(c) for c in chunked], dtype=np.int64)]
+        return np.split(ids, ends[:-1]) if len(texts) else []
+
+    def digest(self, ids: np.ndarray) -> str:
+        """SHA-256 of the decimal ids joined by commas."""
+        return hashlib.sha256(",".join(self.decimal[ids].tolist()).encode()).hexdigest()
 
     def decode(self, ids: Sequence[np.ndarray]) -> list[bytes]:
         """Bytes of every id sequence; an empty one gives no bytes."""
@@ -232,14 +256,14 @@ def encode_decode(
 
         def work(texts):
             encoded = coder.encode(texts)
-            decoded = coder.decode([ids for _, ids in encoded])
+            decoded = coder.decode(encoded)
             out = {
-                "n_tokens": [len(ids) for _, ids in encoded],
-                "ids_sha256": [hashlib.sha256(s.encode()).hexdigest() for s, _ in encoded],
+                "n_tokens": [len(ids) for ids in encoded],
+                "ids_sha256": [coder.digest(ids) for ids in encoded],
                 "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in decoded],
                 "decoded_equal": [b == t.encode() for b, t in zip(decoded, texts, strict=True)],
             }
-            return out | ({"ids": [ids for _, ids in encoded]} if keep_ids else {})
+            return out | ({"ids": encoded} if keep_ids else {})
 
         return work
 
