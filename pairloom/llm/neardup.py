@@ -3,13 +3,15 @@
 1. Every text gets its set of five-word shingles (64-bit hashes), a 128-bit key of the set, and a
    SuperMinHash signature: an element draws the ranks of a permutation one by one, and stops
    once no slot can be lowered any more. Texts with equal sets are one class from here on.
-2. Bands of the signature are hashed. Classes that share a band are candidates; every class is
-   compared with the leader (least key) of its bands' buckets, on the full sets.
+2. Bands of the signature are hashed. Classes that share a band are candidates. Of these, shingles
+   that only one text has are counted: they bound every similarity from above, exactly, and
+   take out altered copies that can have no link. Every class left is compared with the
+   least altered one of each of its buckets, on the full sets.
 3. Verified links are contracted by union-find inside each task, then by star steps over the
    whole table, until each class points to the least key of its component.
-4. Buckets that still hold classes of several components are worked off: all pairs across
-   components, once more on full sets. So every candidate pair is either verified or
-   already inside one component, and no link that banding finds is lost.
+4. Buckets that still hold classes of several components are worked off: the pairs across
+   components that the bound admits, once more on full sets. So every candidate pair is verified,
+   ruled out by the bound or already inside one component; no link that banding finds is lost.
 
 Bands have six rows; there are so many that a pair at the threshold shares none with a probability
 of one in a million at most (30 at 0.85, 46 at 0.8).
@@ -35,7 +37,7 @@ from pairloom.session import stored
 SHINGLE = 5
 ROWS = 6
 MISS = 1e-6
-PIECE = 1 << 19
+PIECE = 1 << 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -284,29 +286,47 @@ def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, D
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     # one row per class and band; the band's number is part of the hash
     filed = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(filed.join(shared.select("bucket", "leader"), "bucket"), "buckets")
-    # sets whose sizes differ too much cannot be similar enough
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    leaders = members.filter(F.col("key") == F.col("leader")).select(F.col("bucket"), F.col("n").alias("m"))
-    first = members.filter(F.col("key") != F.col("leader")).join(leaders, "bucket").filter(fits).select(
-        F.col("key").alias("u"), F.col("leader").alias("v")).distinct()
+    shared = filed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stored(filed.join(shared.select("bucket"), "bucket"), "buckets")
     # texts of classes that share a bucket, one row each
     involved = members.select("key").distinct()
     row_ids = table.join(involved, "key", "left_semi").groupBy("key").agg(F.first("doc_id", True).alias("id"))
-    texts = stored(_texts(docs, row_ids, id_col, text_col), "texts")
+    texts = stored(_texts(docs, row_ids, id_col, text_col).withColumn("no", F.monotonically_increasing_id()), "texts")
+    # shingles that no other of these texts has; a class with too many of them has no link
+    own = _unique_shingles(texts)
+    members = members.join(texts.select("key", "no").join(own, "no", "left"), "key").select(
+        "bucket", "key", "n", F.coalesce("own", F.lit(0)).alias("own")
+    ).filter(F.col("own") * 100 <= F.col("n") * (100 - percent))
+    members = stored(members, "candidates")
+
+    # the least altered class of a bucket leads it
+    rank = F.struct((F.col("own") * 1000 / F.col("n")).cast("int").alias("part"), "key", "n", "own")
+    leaders = members.groupBy("bucket").agg(F.min(rank).alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    fits = _fits(percent)
+    first = stored(
+        members.join(leaders.select("bucket", F.col("lead.key").alias("v"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other_own")), "bucket")
+        .filter((F.col("key") != F.col("v")) & fits).select(F.col("key").alias("u"), "v").distinct(), "pairs")
     links = stored(verified(first, texts, percent), "verified")
     found = components(links)
 
-    labelled = members.join(found, "key", "left").select(
-        "bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+    # what is still in several components of a bucket: all pairs across them that may be links
+    labelled = members.join(found, "key", "left").withColumn("root", F.coalesce("root", "key")).select(
+        "bucket", "key", "n", "own", "root")
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
     rest = stored(labelled.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-    other = rest.select("bucket", F.col("key").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    second = rest.withColumnRenamed("key", "u").join(other, "bucket").filter(
-        (F.col("u") > F.col("v")) & (F.col("root") != F.col("other")) & fits
-    ).select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
-    more = stored(verified(second, texts, percent), "verified")
+    # at most one bucket per band and class; a pair is formed in the first that it shares
+    mine = rest.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
+    rest = stored(rest.join(mine, "key"), "mixed")
+    other = rest.select(
+        F.col("bucket").alias("other_bucket"), F.col("key").alias("v"), F.col("n").alias("m"), F.col("own").alias("other_own"), F.col("root").alias("other"),
+        F.col("buckets").alias("other_buckets"))
+    first_shared = F.array_min(F.array_intersect("buckets", "other_buckets"))
+    second = rest.join(
+        other, (F.col("bucket") == F.col("other_bucket")) & (F.col("key") > F.col("v")) & (F.col("root") != F.col("other"))
+        & fits & (F.col("bucket") == first_shared))
+    second = second.select(F.col("key").alias("u"), "v")
+    done = first.union(first.select(F.col("v"), F.col("u")))
+    more = stored(verified(second.join(done, ["u", "v"], "left_anti"), texts, percent), "verified")
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -316,6 +336,30 @@ def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, D
     return rooted.join(least, "root").select("key", "component_id"), table
 
 
+def _fits(percent: int):
+    """Whether two classes of n and m shingles, own and other_own of them found nowhere else, can
+    be similar enough: what they share is within the rest of either."""
+    rest, other_rest = F.col("n") - F.col("own"), F.col("m") - F.col("other_own")
+    return F.least(rest, other_rest) * 100 >= (
+        F.greatest(rest, other_rest) + F.col("own") + F.col("other_own")) * percent
+
+
+def _unique_shingles(texts: DataFrame) -> DataFrame:
+    """(no, own): how many of a text's shingles no other of ``texts`` has."""
+    def run(batches):
+        shingler = Shingler()
+        for batch in batches:
+            for a, b in pieces(batch.column(1), PIECE):
+                sets = shingler(batch.column(1).slice(a, b - a).to_pylist())
+                numbers = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)), pa.array(numbers)], names=["shingle", "no"])
+
+    each = texts.select("no", "text").mapInArrow(run, "shingle long, no long")
+    single = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("no").alias("no")).filter("texts = 1")
+    return single.groupBy("no").agg(F.count("*").alias("own"))
+
+
 def _texts(docs: DataFrame, row_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the classes in ``row_ids``, one row per class. An id may stand for several
     texts, so keys are worked out again and matched; rows without an id are all looked at."""
