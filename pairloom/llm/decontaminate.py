@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairloom.llm.batches import filter_texts, pieces
+from pairloom.llm.batches import filter_texts, pieces, ragged
 from pairloom.llm.words import PLAIN, WordTable
 
 RADIUS = 11
 SHINGLE = 5
 CHUNK = 1 << 14
+PIECE = 2 << 20
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -74,11 +75,19 @@ class SignedWords(WordTable):
         self.signs[first:first + n] = 2 * np.unpackbits(own, axis=1, bitorder="little").astype(np.int8) - 1
 
 
-def _near_blocks(values: np.ndarray) -> np.ndarray:
-    """All 16-bit numbers within two bits of one of ``values``."""
-    single = [1 << i for i in range(16)]
-    flips = np.array([0, *single, *(a ^ b for a in single for b in single if a < b)], np.uint16)
-    return np.unique(values[:, None] ^ flips[None, :])
+_SINGLE = [1 << i for i in range(16)]
+# all differences of at most two bits within a block
+FLIPS = np.array([0, *_SINGLE, *(a ^ b for a in _SINGLE for b in _SINGLE if a < b)], np.uint16)
+
+
+def _block_table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints filed under every 16-bit number within two bits of their block's value:
+    how many, where they start, and their numbers."""
+    near = (values[:, None] ^ FLIPS[None, :]).ravel()
+    number = np.repeat(np.arange(len(values)), len(FLIPS))
+    count = np.bincount(near, minlength=1 << 16)
+    small = count.astype(np.min_scalar_type(int(count.max())))
+    return small, np.cumsum(count) - count, number[np.argsort(near, kind="stable")]
 
 
 class ItemIndex:
@@ -95,8 +104,10 @@ class ItemIndex:
             self.ids.append(key)
             self.sizes.append(n)
             self.shingles.append(shingles(words.hashes[numbers]))
+            # sizes in wider steps for longer items, so that fewer sizes have to be slid over
+            unit = step if n < 32 else 2 * step
             for offset in range(min(step, n)):
-                size = (n - offset) // step * step
+                size = (n - offset) // unit * unit
                 if size:
                     total = words.signs[numbers[offset:offset + size]].sum(axis=0, dtype=np.int32)
                     print_ = np.packbits(total > 0, bitorder="little").view("<u8")[0]
@@ -105,12 +116,10 @@ class ItemIndex:
         self.need = np.array([len(s) if n >= SHINGLE else 0 for s, n in zip(self.shingles, self.sizes, strict=True)])
         self.steps = np.array([_stride(n) for n in self.sizes])
         self.sizes = np.array(self.sizes, np.int64)
-        self.classes = []  # (stride, size, four tables, fingerprints, items, offsets)
+        self.classes = []  # (stride, size, four block tables, fingerprints, items, offsets)
         for (step, size), rows in sorted(filed.items()):
             prints = np.array([r[0] for r in rows], np.uint64)
-            tables = np.zeros((4, 1 << 16), bool)
-            for block, values in enumerate(prints.view(np.uint16).reshape(-1, 4).T):
-                tables[block, _near_blocks(values)] = True
+            tables = [_block_table(values) for values in prints.view(np.uint16).reshape(-1, 4).T]
             self.classes.append((step, size, tables, prints, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
 
 
@@ -122,10 +131,13 @@ class Matcher:
 
     def _windows(self, signs: np.ndarray, step: int, classes: list):
         """(start, item offset, item) of windows within the radius, for one stretch of words."""
-        n = len(signs) // step
-        sums = signs[:n * step].reshape(n, step, 64).sum(axis=1, dtype=np.int16) if step > 1 else signs
-        # sums may wrap around; differences of windows under 32,768 words do not
-        kind = np.int16 if max(c[1] for c in classes) < 1 << 15 else np.int32
+        n, longest = len(signs) // step, max(c[1] for c in classes)
+        # running sums may wrap around; the difference over a window that fits the type does not
+        kind = np.int8 if longest < 1 << 7 else np.int16 if longest < 1 << 15 else np.int32
+        parts = signs[:n * step].reshape(n, step, 64)
+        sums = parts[:, 0].astype(kind)
+        for k in range(1, step):
+            sums += parts[:, k]
         total = np.zeros((n + 1, 64), kind)
         np.cumsum(sums, axis=0, dtype=kind, out=total[1:])
         for _, size, tables, prints, items, offsets in classes:
@@ -133,14 +145,18 @@ class Matcher:
             if wide > n:
                 continue
             blocks = np.packbits((total[wide:] - total[:-wide]) > 0, axis=1, bitorder="little").view("<u2")
-            hit = tables[0][blocks[:, 0]]
-            for b in range(1, 4):
-                hit |= tables[b][blocks[:, b]]
-            at = np.flatnonzero(hit)
-            if len(at):
-                own = np.ascontiguousarray(blocks[at]).view("<u8").ravel()
-                w, k = np.nonzero(np.bitwise_count(own[:, None] ^ prints[None, :]) <= RADIUS)
-                yield at[w] * step, offsets[k], items[k]
+            own = blocks.view("<u8").ravel()
+            for b, (count, start, number) in enumerate(tables):
+                value = blocks[:, b]
+                some = count[value]
+                at = np.flatnonzero(some)
+                if len(at):
+                    some = some[at].astype(np.int64)
+                    k = number[ragged(start[value[at]], some)]
+                    w = np.repeat(at, some)
+                    near = np.bitwise_count(own[w] ^ prints[k]) <= RADIUS
+                    w, k = w[near], k[near]
+                    yield w * step, offsets[k], items[k]
 
     def candidates(self, numbers: np.ndarray):
         """(first word, item) of near windows in a padded line of word numbers."""
@@ -151,7 +167,7 @@ class Matcher:
             longest = max(c[1] for c in classes)
             span = max(CHUNK, 2 * longest) // step * step
             for first in range(0, len(numbers), span):
-                signs = self.words.signs[numbers[first:first + span + longest]]
+                signs = self.words.signs.take(numbers[first:first + span + longest], axis=0)
                 short = -len(signs) % step
                 if short:
                     signs = np.concatenate([signs, np.zeros((short, 64), np.int8)])
@@ -241,7 +257,7 @@ def find_leaks(
             matcher, arrow = make(), to_arrow_schema(schema)
             for batch in batches:
                 ids = batch.column(0).cast(arrow.field(0).type)
-                for a, b in pieces(batch.column(1), 1 << 20):
+                for a, b in pieces(batch.column(1), PIECE):
                     got = [
                         (a + row, matcher.index.ids[i], round(value, 6), first, n)
                         for row, found in enumerate(matcher.match(batch.column(1).slice(a, b - a).to_pylist()))
@@ -268,5 +284,5 @@ def without_leaks(
             matcher = make()
             return lambda texts: [not found for found in matcher.match(texts)]
 
-        docs = filter_texts(docs, clean, text_col=text_col, most=1 << 20)
+        docs = filter_texts(docs, clean, text_col=text_col, most=PIECE)
     return docs
