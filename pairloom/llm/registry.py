@@ -73,7 +73,7 @@ def op6_byte_bpe(spark, folder):
 @query
 def op7_token_files(spark, folder):
     return tokenbin.write_and_read(
-        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, added=True
     )
 
 

@@ -14,7 +14,9 @@ ranges of the document id; nothing else is shuffled but sums per segment.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Sequence
@@ -122,22 +124,42 @@ class WordEncoder(WordTable):
     """Ids of words for a tokenizer that ignores case, whose tokens never reach across white space
     and whose pretokens end with a token of their own kind.
 
-    Its string form of the special tokens is ordinary text here. A stop behind a word of letters is a
+    With ``added``, the strings of the file's added tokens are those tokens, as the library has it: texts are
+    cut at them first. Without, they are ordinary text. A stop behind a word of letters is a
     pretoken by itself, so such a word takes the ids of the word and those of the stop.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added: bool = False):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        listed = json.loads(definition).get("added_tokens") or [] if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in listed):
+            raise ValueError("added tokens other than plain strings")
+        # upper-case words never come from a text: its words are lower-cased
+        self.added_tokens = {t["content"].encode(): (b"T%d" % t["id"], t["id"]) for t in listed}
+        # the first that fits at a place, the longest of several
+        self.cut = re.compile(b"|".join(re.escape(c) for c in sorted(self.added_tokens, key=len, reverse=True)))
         super().__init__(SPACED, HELD_WORDS)
 
     def clear(self):
         super().clear()
         self.ids = np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        if self.added_tokens:
+            names, ids = zip(*self.added_tokens.values(), strict=True)
+            self._add(list(names), np.array(ids, np.uint32), np.ones(len(ids), np.int64))
+
+    def prepared(self, text):
+        if not self.added_tokens or not self.cut.search(text):
+            return super().prepared(text)
+        parts, at = [], 0
+        for found in self.cut.finditer(text):
+            parts += [super().prepared(text[at:found.start()]), self.added_tokens[found[0]][0]]
+            at = found.end()
+        return b" ".join([*parts, super().prepared(text[at:])])
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and ids per word."""
@@ -194,14 +216,14 @@ class WordEncoder(WordTable):
         return np.split(ids, ends[:-1]) if len(texts) else []
 
 
-_encoders: dict[int, WordEncoder] = {}
+_encoders: dict[tuple[int, bool], WordEncoder] = {}
 
 
-def _encoder(definition: str) -> WordEncoder:
-    key = hash(definition)
+def _encoder(definition: str, added: bool) -> WordEncoder:
+    key = hash(definition), added
     if key not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[key] = WordEncoder(definition)
+        _encoders[key] = WordEncoder(definition, added)
     return _encoders[key]
 
 
@@ -213,12 +235,14 @@ SEGMENT = T.StructType([
 
 def write_ids(
     docs: DataFrame, definition_path: str, end_id: int, path: str, *, id_col: str = "doc_id", text_col: str = "text",
+    added: bool = False,
 ) -> None:
     """Encode every text, append ``end_id``, and write segments in ascending order of id.
 
     A null id comes first, equal ids follow the order of their texts, a null text is empty and has the
     end id alone. A text longer than a segment is one segment. An empty table writes no
-    segment. Other columns are left out.
+    segment. Other columns are left out. ``added`` takes the strings of the file's added tokens for those
+    tokens, the library's default.
     """
     with open(definition_path) as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -227,7 +251,7 @@ def write_ids(
     end = int(end_id)
 
     def run(batches):
-        encoder, arrow = _encoder(definition.value), to_arrow_schema(schema)
+        encoder, arrow = _encoder(definition.value, added), to_arrow_schema(schema)
         tail, number, held, ids = np.array([end], np.uint32), 0, 0, []
         texts: list[np.ndarray] = []
 

@@ -51,3 +51,21 @@ def test_files(documents):
 
 def test_empty(documents):
     assert write_and_read(documents([]), PATH, 2).count() == 0
+
+
+ADDED = ["<|endoftext|>", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> x", "<|endoftext|>.", "é<|startoftext|>\u0338", "T49407 t49407",
+         "<|endoftext<|endoftext|>|>", "<|endoftext|><|endoftext|>\n", "the. <|startoftext|> The.", "<|endof text|>"]
+
+
+def test_added_tokens_are_those_of_the_unchanged_library(documents):
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    texts = ODD + ADDED + ["".join(rng.choices([*"aB. '!é日\n", *ADDED[:3]], k=rng.randint(0, 20))) for _ in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = WordEncoder(open(PATH).read(), added=True)
+    assert [list(g) for g in encoder.encode(texts)] == want
+    encoder.clear()
+    assert [list(g) for g in encoder.encode(texts)] == want
+    rows = write_and_read(documents(enumerate(texts)), PATH, 2, added=True).collect()
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {
+        k: zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for k, w in enumerate(want)}
