@@ -1,8 +1,9 @@
 """Distribution divergence: documents against the letter and word profile of their language.
 
-Every document gets two histograms: its characters by class, and its common function
-words. The reference of a language is the sum over all its documents that pass the base
-rule. A document is kept if both its histograms lie within a Jensen-Shannon distance (base 2
+Every document gets three histograms: its characters by class, its common function words, and
+its profile, the same words with one class more for all other words. The reference of a language
+is the sum over all its documents that pass the base rule; where that holds few counts, a fixed
+reference of the language fills it up. A document is kept if its histograms lie within a Jensen-Shannon distance (base 2
 logarithm, square root, so 0 to 1) of the reference. Short texts have noisy histograms;
 below a stated length they are not judged by them.
 
@@ -32,6 +33,13 @@ COMMON_WORDS = {
 CLASSES = {
     "upper": "A-Z", "digit": "0-9", "punctuation": ".,;:!?'\"()\\-", "symbol": "#*$%&|<>@+=/\\\\^_`~{}\\[\\]",
 }
+# Shares of upper-case letters, digits, punctuation, symbols, letters beyond ASCII,
+# lower-case letters, spaces and others, and of common words among all, in ordinary text.
+CLASS_SHARES = {
+    "de": [0.018, 0.001, 0.024, 0.019, 0.037, 0.748, 0.153, 0.0], "en": [0.025, 0.001, 0.027, 0.02, 0.0, 0.763, 0.164, 0.0],
+    "es": [0.022, 0.001, 0.027, 0.02, 0.076, 0.696, 0.158, 0.0], "fr": [0.024, 0.001, 0.03, 0.018, 0.087, 0.675, 0.165, 0.0],
+}
+COMMON_SHARE = 0.215
 MIN_WORDS = 50
 WINDOW = 3
 
@@ -40,6 +48,30 @@ def _vocabulary() -> list[str]:
     return sorted({w for listed in COMMON_WORDS.values() for w in listed})
 
 
+def _fixed_shares() -> dict[str, dict[str, list[float]]]:
+    """The fixed reference of every histogram and language. Common words are listed by
+    frequency; the k-th has a share as 1 / (k + 1)."""
+    common = {}
+    for lang, listed in COMMON_WORDS.items():
+        weights = {w: 1 / (k + 2) for k, w in enumerate(dict.fromkeys(listed))}
+        common[lang] = [weights.get(w, 0.0) / sum(weights.values()) for w in _vocabulary()]
+    return {
+        "classes": CLASS_SHARES, "common": common,
+        "profile": {lang: [*[COMMON_SHARE * x for x in own], 1 - COMMON_SHARE] for lang, own in common.items()},
+    }
+
+
+def _reference(counts: str, lang: str, fixed: dict[str, list[float]], least: int) -> Column:
+    """Shares of a language's sums; what they lack to ``least`` counts comes from its fixed shares, if it has any."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    listed = F.lit(None).cast("array<double>")
+    for name, own in fixed.items():
+        listed = F.when(F.col(lang) == name, F.array(*[F.lit(float(x)) for x in own])).otherwise(listed)
+    filled = let(total, lambda n: F.zip_with(
+        counts, listed, lambda c, x: (c + x * F.greatest(F.lit(0), least - n)) / F.greatest(n, F.lit(least))))
+    return F.coalesce(filled, shares(F.col(counts)))
+
+
 def _class_counts(rest: str) -> list[Column]:
     """Counts of the classes other than lower-case letters and spaces, in what those leave."""
     patterns = [f"[^{c}]+" for c in CLASSES.values()] + ["[^\\p{L}\\p{M}]+|[a-zA-Z]+"]
@@ -142,15 +174,16 @@ def js_distance(left: Column, right: Column) -> Column:
 def judge_quality(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     most_class_distance: float = 0.3, most_word_distance: float = 0.6, min_chars: int = 300,
-    min_common: int = 30, min_reference: int = 5000,
+    min_common: int = 30, min_reference: int = 5000, most_profile_distance: float = 0.3, min_words: int = 100,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, base counts, both distances, base_failed, kept.
+    """One row per row of ``docs``: id, base counts, all distances, base_failed, kept.
 
     A text fails the base rule under 50 words or with more than half of its words in
     repeated three-word windows. Any other text is kept unless a distance is over its bound;
     the class distance is looked at from ``min_chars`` characters on, the word distance from
-    ``min_common`` common words on, and either only where the language's reference holds
-    ``min_reference`` counts. A null or empty text has no words and fails the base rule. A null language
+    ``min_common`` common words on, and the profile distance from ``min_words`` words on, however few of
+    them are common. A reference of less than ``min_reference`` counts is filled up from the fixed one; a
+    language without one has its own documents alone. A null or empty text has no words and fails the base rule. A null language
     is a language of its own. Null ids, repeated rows and repeated ids stay as they are; other
     columns are left out. An empty table gives no rows.
     """
@@ -160,39 +193,43 @@ def judge_quality(
                     | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         # the last class: all characters that none of the others holds
         .withColumn("classes", F.expr(
-            "concat(classes, array(n_chars - aggregate(classes, 0L, (a, x) -> a + x)))")),
+            "concat(classes, array(n_chars - aggregate(classes, 0L, (a, x) -> a + x)))"))
+        # all words that are not common
+        .withColumn("profile", F.expr(
+            "concat(common, array(n_words - aggregate(common, 0L, (a, x) -> a + x)))")),
         "quality",
     )
-    sizes = {"classes": len(CLASSES) + 4, "common": len(_vocabulary())}
+    sizes = {"classes": len(CLASSES) + 4, "common": len(_vocabulary()), "profile": len(_vocabulary()) + 1}
     sums = counts.filter(~F.col("base_failed")).groupBy("lang").agg(*[
         F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for name, n in sizes.items() for i in range(n)
     ]).select(F.col("lang").alias("of"), *[
         F.array(*[F.col(f"{name}{i}") for i in range(n)]).alias(f"all_{name}") for name, n in sizes.items()
     ])
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    sums = sums.select(
-        "of", *[total(f"all_{name}").alias(f"total_{name}") for name in sizes],
-        *[shares(F.col(f"all_{name}")).alias(f"{name}_reference") for name in sizes],
-    )
+    fixed = _fixed_shares()
+    sums = sums.select("of", *[
+        _reference(f"all_{name}", "of", fixed[name], min_reference).alias(f"{name}_reference") for name in sizes
+    ])
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     class_far = (
-        (F.col("n_chars") >= min_chars) & (F.col("total_classes") >= min_reference)
-        & (F.col("class_distance") > most_class_distance)
+        (F.col("n_chars") >= min_chars) & (F.col("class_distance") > most_class_distance)
     )
     word_far = (
-        (total("common") >= min_common) & (F.col("total_common") >= min_reference)
-        & (F.col("word_distance") > most_word_distance)
+        (total("common") >= min_common) & (F.col("word_distance") > most_word_distance)
     )
+    profile_far = (F.col("n_words") >= min_words) & (F.col("profile_distance") > most_profile_distance)
     return (
         counts.join(sums, F.col("lang").eqNullSafe(F.col("of")), "left")
         .select("*", once(F.struct(
             js_distance(shares(F.col("classes")), F.col("classes_reference")).alias("class_distance"),
             js_distance(shares(F.col("common")), F.col("common_reference")).alias("word_distance"),
+            js_distance(shares(F.col("profile")), F.col("profile_reference")).alias("profile_distance"),
         )).alias("far"))
         .select("*", "far.*")
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-            (~F.col("base_failed") & ~F.coalesce(class_far, F.lit(False)) & ~F.coalesce(word_far, F.lit(False)))
-            .alias("kept"),
-            "class_distance", "word_distance",
+            (~F.col("base_failed") & ~F.coalesce(class_far, F.lit(False)) & ~F.coalesce(word_far, F.lit(False))
+             & ~F.coalesce(profile_far, F.lit(False))).alias("kept"),
+            "class_distance", "word_distance", "profile_distance",
         )
     )

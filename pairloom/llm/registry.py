@@ -37,7 +37,7 @@ def op1_decontaminate(spark, folder):
 @query
 def op2_quality_divergence(spark, folder):
     rows = quality.judge_quality(_table(spark, folder, "documents"))
-    return rows.drop("class_distance", "word_distance")
+    return rows.drop("class_distance", "word_distance", "profile_distance")
 
 
 @query

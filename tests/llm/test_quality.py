@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pairloom.llm.quality import judge_quality
 from tests.llm.conftest import EDGES, by_id, prose
 
@@ -52,3 +54,19 @@ def test_distance_and_verdict(documents):
 
 def test_empty(documents):
     assert judge_quality(documents([])).count() == 0
+
+
+def test_long_texts_without_common_words_and_small_languages(documents):
+    clean = [(i, "The cat is in " + " and the ".join(prose(i, 120, 9000)) + ".") for i in range(100, 160)]
+    bare = [(500, " ".join(w + "x" for w in prose(9, 496, 9000)) + ".")]
+    rows = {r["doc_id"]: r for r in by_id(judge_quality(documents([*clean, *bare])))}
+    assert all(rows[i]["kept"] for i, _ in clean)
+    assert rows[500]["class_distance"] < 0.3 and not rows[500]["base_failed"] and not rows[500]["kept"]
+    # a corpus of two texts is no reference by itself
+    junk = " ".join(w.upper() + "##$$" for w in prose(4, 60, 9000))
+    plain = " ".join("the of and to in".split()[k // 5 % 5] if k % 5 == 0 else w + "x" for k, w in enumerate(prose(5, 120, 9000))) + "."
+    rows = {r["doc_id"]: r for r in by_id(judge_quality(documents([(1, junk), (2, plain)])))}
+    assert not rows[1]["base_failed"] and not rows[1]["kept"] and rows[2]["kept"]
+    # a language without a fixed reference has its own texts
+    own = documents([(1, " ".join(w + "ω" for w in prose(4, 200, 9000)))]).withColumn("lang", F.lit("el"))
+    assert by_id(judge_quality(own))[0]["kept"]
