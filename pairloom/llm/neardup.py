@@ -181,7 +181,7 @@ def _forest(edges: DataFrame) -> DataFrame:
     """Edges replaced, task by task, by edges from every node to its root (union-find)."""
     def run(batches):
         for batch in batches:
-            parent: dict[bytes, bytes] = {}
+            parent: dict = {}
 
             def root(x, parent=parent):
                 while parent.setdefault(x, x) != x:
@@ -194,9 +194,9 @@ def _forest(edges: DataFrame) -> DataFrame:
                 parent[b] = a
             made = [(x, root(x)) for x in parent if root(x) != x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m[k] for m in made], pa.binary()) for k in range(2)], names=["u", "v"])
+                [pa.array([m[k] for m in made], batch.column(0).type) for k in range(2)], names=["u", "v"])
 
-    return edges.mapInArrow(run, "u binary, v binary")
+    return edges.mapInArrow(run, edges.schema)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -206,7 +206,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     keep components; the least key of each ends up as the centre of a star.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+    # a table of its own, so that the join can split the edges of a hub
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least")), "least")
     hung = both.join(least, "u")
     if large:
         moved = hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v"))

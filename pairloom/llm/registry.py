@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import bpe, decontaminate, katz, licenses, neardup, quality, secrets, tokenbin, toxicity, urls
+from pairloom.llm import (
+    bpe, decontaminate, groupjoin, katz, kmeans, licenses, neardup, negatives, quality, secrets, tokenbin, toxicity, urls,
+)
 from pairloom.llm.batches import crc32_remainder
 from pairloom.llm.oracle import ORACLE
 
@@ -95,6 +97,24 @@ def op10_katz_backoff(spark, folder):
                          "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op11_ns_kmeans(spark, folder):
+    return kmeans.cluster_vectors(_table(spark, folder, "embeddings"))
+
+
+@query
+def op12_hard_negatives(spark, folder):
+    """Every seventh row gets the next label, so that it is a negative of its like."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, folder, "embeddings").withColumn("label", moved)
+    return negatives.mine_negatives(rows, lambda vec_id: vec_id % 100 == 0)
+
+
+@query
+def op13_group_join(spark, folder):
+    return groupjoin.similar_groups(_table(spark, folder, "documents"))
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
