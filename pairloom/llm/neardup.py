@@ -246,7 +246,10 @@ def near_duplicates(
     Repeated rows get the same result each, so all rows that repeat the least id are kept. Other
     columns are left out. An empty table gives no rows.
     """
-    named, table = _grouped(docs, id_col, text_col, percent, bands, rows)
+    rooted, table = _grouped(docs, id_col, text_col, percent, bands, rows)
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    # a table of its own, so that the last join can split a class with very many copies
+    named = stored(rooted.join(least, "root").select("key", "component_id"), "named")
     return table.join(named, "key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -256,11 +259,15 @@ def one_of_each(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
     bands: int | None = None, rows: int = ROWS,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of rows that
-    repeat both the id and the shingle set only one."""
-    named, table = _grouped(docs, id_col, text_col, percent, bands, rows)
-    ids = table.join(named, "key", "left").filter(F.col("key").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = ids.select(F.col("doc_id").alias("id"), F.col("key").alias("own")).distinct()
+    """The rows of ``docs``, with all their columns, that have no words or stand for their component.
+
+    Texts without words are linked with nothing, so all of them stay, whatever their ids. Of every
+    component of ``near_duplicates`` exactly one row stays: that of the least id (null ids last); where texts with
+    different sets share that id, one of them, chosen by the set; of rows that repeat both, any one.
+    """
+    rooted, _ = _grouped(docs, id_col, text_col, percent, bands, rows)
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("one"))
+    ids = stored(chosen.select(F.col("one.id").alias("id"), F.col("one.key").alias("own")), "chosen")
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["doc"], packed.schema["id"], T.StructField("key", T.BinaryType())])
 
@@ -274,12 +281,15 @@ def one_of_each(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), keys], names=["doc", "id", "key"])
 
     keyed = packed.mapInArrow(run, schema).alias("k")
-    same = F.col("k.id").eqNullSafe(F.col("i.id")) & F.col("k.key").eqNullSafe(F.col("i.own"))
-    return keyed.join(ids.alias("i"), same, "left_semi").dropDuplicates(["id", "key"]).select("doc.*")
+    same = F.col("k.id").eqNullSafe(F.col("i.id")) & (F.col("k.key") == F.col("i.own"))
+    held = keyed.join(ids.alias("i"), same, "left").filter(F.col("k.key").isNull() | F.col("i.own").isNotNull())
+    # rows without words differ in a number, repeats of a chosen row do not
+    each = F.when(F.col("k.key").isNull(), F.monotonically_increasing_id())
+    return held.select("k.*", each.alias("each")).dropDuplicates(["id", "key", "each"]).select("doc.*")
 
 
 def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, DataFrame]:
-    """(key, component_id) of every class, and the stored signatures."""
+    """(key, id, root) of every class, with the least id of its texts, and the stored signatures."""
     if bands is None:
         bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
     table = stored(signed(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows), "signatures")
@@ -333,8 +343,7 @@ def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, D
 
     rooted = table.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("id")).join(
         found, "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    return rooted.join(least, "root").select("key", "component_id"), table
+    return stored(rooted, "rooted"), table
 
 
 def _fits(percent: int):

@@ -13,7 +13,8 @@ def sets_of(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows, percent):
+def linked_rows(rows, percent):
+    """A number per row, the same for rows linked directly or by others."""
     sets = [sets_of(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -27,11 +28,16 @@ def brute(rows, percent):
             shared = len(sets[a] & sets[b])
             if shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
                 parent[root(a)] = root(b)
-    out = []
-    for k, (i, _) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(k) and rows[j][0] is not None] if sets[k] else [i]
+    return [root(k) for k in range(len(rows))]
+
+
+def brute(rows, percent):
+    linked, out = linked_rows(rows, percent), []
+    for k, (i, text) in enumerate(rows):
+        n = len(sets_of(text))
+        ids = [j for c, (j, _) in zip(linked, rows) if c == linked[k] and j is not None] if n else [i]
         least = min(ids, default=None)
-        out.append((i, len(sets[k]), least, i == least))
+        out.append((i, n, least, i == least))
     return sorted(map(str, out))
 
 
@@ -69,13 +75,24 @@ def test_against_all_pairs(documents):
 
 
 def test_one_of_each(documents):
-    docs = documents(ROWS)
+    """All rows without words, and one row of every component, that of its least id."""
+    twice = [(3, "\t"), (None, ""), (None, None), (5, " ".join(prose(950, 70, 9000))), (5, edited(prose(950, 70, 9000), 1, 1)),
+             (100, " ".join(prose(960, 70, 9000))), (None, " ".join(prose(970, 70, 9000))), (None, edited(prose(970, 70, 9000), 1, 2))]
+    rows = ROWS + twice
+    docs = documents(rows)
     kept = one_of_each(docs, percent=85)
     assert kept.columns == docs.columns
-    want = {eval(r)[0] for r in brute(ROWS, 85) if eval(r)[3]}  # noqa: S307
-    got = [r["doc_id"] for r in kept.collect()]
-    assert set(got) == want
-    assert sorted(i for i in got if i) == sorted(i for i in want if i)  # 4 stands twice with one text
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    empty = sorted(str(r) for r in rows if not sets_of(r[1]))
+    assert sorted(str(r) for r in got if not sets_of(r[1])) == empty
+    linked = linked_rows(rows, 85)
+    assert all(r in rows for r in got)
+    stands = sorted(linked[rows.index(r)] for r in got if sets_of(r[1]))
+    assert stands == sorted({c for c, r in zip(linked, rows) if sets_of(r[1])})
+    for i, text in got:
+        if sets_of(text):
+            ids = [j for c, (j, _) in zip(linked, rows) if c == linked[rows.index((i, text))]]
+            assert i == min((j for j in ids if j is not None), default=None)
 
 
 def test_components_of_long_chains(spark):
