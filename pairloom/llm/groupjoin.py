@@ -12,8 +12,8 @@
 4. Verification on whole sets goes in rounds, so that links are found without forming all pairs: members with
    the first of their group; groups with the least altered group that shares an element and about the
    size; then, for pairs of groups whose members are not all in one component yet, the pairs of members
-   across components. Pairs of groups are filtered by size, by what is theirs alone, and by position:
-   what follows the last shared prefix element bounds the rest of the intersection.
+   across components. Pairs of groups are filtered by size, by what is theirs alone, and by position: the first
+   shared element has to stand early in both, and what follows the last one bounds the rest of the intersection.
 
 So every pair that may be linked is verified, ruled out by an exact bound, or already inside one component.
 """
@@ -160,8 +160,11 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_ = stored(open_.join(mixed.select("element"), "element", "left_semi"), "open")
     other = open_.select("element", *[F.col(c).alias(f"o_{c}") for c in ("group", "n", "own", "at", "a", "b")])
     most = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own"))
+    # two linked sets share so many elements that the first of them stands this early in both
+    needed = F.ceil(percent * (F.col("n") + F.col("o_n")) / (100 + percent))
+    early = (F.col("at") <= F.col("n") - needed + 1) & (F.col("o_at") <= F.col("o_n") - needed + 1)
     pairs = open_.join(other, "element").filter(
-        (F.col("group") >= F.col("o_group")) & ((F.least("a", "o_a") != F.greatest("b", "o_b")))
+        (F.col("group") >= F.col("o_group")) & ((F.least("a", "o_a") != F.greatest("b", "o_b"))) & early
         & _may_link(most, F.col("n"), F.col("o_n"), percent))
     bound = F.col("common") + F.least(F.col("n") - F.col("last"), F.col("o_n") - F.col("o_last"))
     pairs = pairs.groupBy("group", "o_group", "n", "o_n").agg(
