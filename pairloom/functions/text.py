@@ -33,23 +33,6 @@ def literals(words: Iterable[str]) -> Column:
     return F.split(F.lit("\t".join(words)), "\t")
 
 
-def _in_list(words: Iterable[str]) -> str:
-    """SQL list of text literals. A thousand literals take long to build one by one;
-    Catalyst makes a long list a hash set."""
-    quoted = ("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
-    return ", ".join(quoted) or "null"
-
-
-def only(column: str, words: Iterable[str]) -> Column:
-    """Elements of an array column that are among ``words``, by hash lookup."""
-    return F.expr(f"filter({column}, w -> w in ({_in_list(words)}))")
-
-
-def blank_others(column: str, words: Iterable[str]) -> Column:
-    """As ``only``, but other elements become null and keep their place."""
-    return F.expr(f"transform({column}, w -> if(w in ({_in_list(words)}), w, null))")
-
-
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 

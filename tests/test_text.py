@@ -130,12 +130,3 @@ def test_native_text_has_no_python_stage(texts):
     )
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
-
-
-def test_only_is_a_hash_lookup(texts):
-    df = texts("a b it's \\ c").select(F.split("t", " ").alias("x"))
-    kept = df.select(T.only("x", ["a", "it's", "\\"]).alias("v"))
-    assert kept.first()["v"] == ["a", "it's", "\\"]
-    assert df.select(T.only("x", []).alias("v")).first()["v"] == []
-    many = df.select(T.only("x", [f"w{i}" for i in range(50)]).alias("v"))
-    assert "INSET" in many._jdf.queryExecution().optimizedPlan().toString()
