@@ -4,30 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.fixed_values import (
     CLEAN_MIN_CHARS, LEFT_MIN_HITS, RIGHT_MIN_HITS, TECH_KEYWORDS,
 )
+from pairloom.functions.bloom import Bloom
 from pairloom.functions.text import clean_text, concat_text, keyword_hits, longer_than
+from pairloom.session import stored
 
 
 def head(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def _copied(df: DataFrame, value: str) -> Column:
+    """False only for rows whose ``value`` no other row has."""
+    text = F.xxhash64(F.col(value)).cast("string")
+    counts = df.groupBy(text.alias("hash")).agg(F.count(F.lit(1)).alias("rows"))
+    repeated = Bloom.of(counts.filter("rows > 1"), "hash")
+    return repeated.test(text, repeated.column())
+
+
 def dedup_keep_first(df: DataFrame, value: str, order: str) -> DataFrame:
     """Exact duplicates of ``value`` out, the row with the least ``order`` stays.
 
-    One aggregation over whole rows, which combines before the shuffle: a text with a third
-    of all rows as copies is one row per task there, and the input is read once. A null
-    ``order`` comes last; a repeated one still gives one row per text. Null texts are copies
-    of each other.
+    Narrow first: rows are counted by a 64-bit hash of the value, combined before the shuffle, and
+    hashes found more than once go into a Bloom filter of fixed size. Rows that it does not know have no
+    copy and stay where they are. Only the others are aggregated whole, by SHA-256, combined before the shuffle:
+    a text with a third of all rows as copies is one row per task there. ``df`` is read three times
+    and should be stored where it is costly. A null ``order`` comes last; a repeated one still gives one row
+    per text. Null texts are copies of each other.
     """
+    copied = _copied(df, value)
     place = F.struct(F.col(order).isNull(), F.col(order))
     kept = F.min_by(F.struct(*[F.col(c) for c in df.columns]), place)
-    return df.groupBy(F.sha2(F.col(value), 256).alias("_hash")).agg(kept.alias("_kept")).select("_kept.*")
+    first = df.filter(copied).groupBy(F.sha2(F.col(value), 256).alias("_hash")).agg(kept.alias("_kept")).select("_kept.*")
+    return df.filter(~copied).unionByName(first)
 
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -59,7 +73,7 @@ def clean_left(
         lambda t: longer_than(t, min_chars) & (keyword_hits(t, keywords) >= min_hits),
     )
     rows = df.select(id_col, F.explode(kept).alias(text_col))
-    return dedup_keep_first(rows, text_col, id_col) if dedup else rows
+    return dedup_keep_first(stored(rows, "cleaned"), text_col, id_col) if dedup else rows
 
 
 def clean_right(
@@ -82,7 +96,7 @@ def clean_right(
         & (keyword_hits(concat_text(*[r[c] for c in cleaned]), keywords) >= min_hits),
     )
     rows = df.select(id_col, *carried, F.inline(kept)).select(id_col, *cleaned, *carried)
-    return dedup_keep_first(rows, body, id_col) if dedup else rows
+    return dedup_keep_first(stored(rows, "cleaned"), body, id_col) if dedup else rows
 
 
 def stage_counts(

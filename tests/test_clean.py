@@ -18,16 +18,14 @@ def test_dedup_with_null_and_repeated_ids(spark):
     assert sorted((r["t"], r["id"]) for r in got) == [("a", 1), ("b", 3), ("c", 5), ("only me", None)]
 
 
-def test_dedup_reads_its_input_once(spark):
-    seen = spark.sparkContext.accumulator(0)
-
-    def count(batches):
-        for batch in batches:
-            seen.add(batch.num_rows)
-            yield batch
-
-    df = spark.range(500).selectExpr("id", "cast(id % 50 as string) AS t").mapInArrow(count, "id long, t string")
-    assert clean.dedup_keep_first(df, "t", "id").count() == 50 and seen.value == 500
+def test_dedup_moves_texts_with_a_possible_copy_only(spark):
+    """Bytes shuffled as whole rows: in proportion to the copies, not to the table."""
+    rows = [(i, f"text {i} " + "x" * 500) for i in range(3000)] + [(5000 + i, "copy " + "y" * 500) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(4)
+    kept = clean.dedup_keep_first(df, "t", "id")
+    assert sorted(r["id"] for r in kept.collect()) == [*range(3000), 5000]
+    narrow = df.filter(~clean._copied(df, "t"))
+    assert narrow.count() == 3000
 
 
 def test_dedup_combines_copies_before_the_shuffle(spark):
