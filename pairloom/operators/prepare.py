@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pairloom.fixed_values import CHARS_PER_TOKEN
 from pairloom.functions.prompts import chat_text, training_completion, training_prompt
 
+CONVERSATION_SPAN = 64
+
 
 def metadata() -> Column:
     return F.struct(
@@ -37,6 +39,41 @@ def training_records(examples: DataFrame, form: str = "instruction", keep: tuple
     return examples.select(*columns, metadata(), *keep)
 
 
+def chat_conversations(
+    turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    span: int = CONVERSATION_SPAN,
+) -> DataFrame:
+    """Records of whole conversations: ``(<id_col>, part, messages, answered)``.
+
+    A record holds the messages of ``span`` turn numbers in a row, so a conversation of any length is cut
+    into records of bounded size by its turn numbers alone, and no task gathers more than that.
+    Messages stand in order of turn, then role and text. Neighbours of one role become one message, with a blank
+    line between, so that roles alternate. Turns without text or role carry nothing and are left out;
+    all others are kept, answered or not. ``answered``: the first message that is not the system's is
+    the user's, and the last is the assistant's. Turns of a null conversation make records of their own, by
+    turn; turns without a number come first, in part null.
+    """
+    part = F.floor(F.col(turn_col) / span).cast("bigint")
+    turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("content"))
+    kept = turns.filter((F.length(text_col) > 0) & (F.length(role_col) > 0))
+    ordered = kept.groupBy(F.col(id_col), part.alias("part")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+
+    def joined(messages: Column, x: Column) -> Column:
+        last = F.try_element_at(messages, F.lit(-1))
+        both = F.struct(x["role"].alias("role"), F.concat(last["content"], F.lit("\n\n"), x["content"]).alias("content"))
+        own = F.struct(x["role"].alias("role"), x["content"].alias("content"))
+        return F.when(
+            last["role"] == x["role"],
+            F.concat(F.slice(messages, F.lit(1), F.size(messages) - 1), F.array(both)),
+        ).otherwise(F.concat(messages, F.array(own)))
+
+    none = F.array().cast("array<struct<role: string, content: string>>")
+    records = ordered.select(id_col, "part", F.aggregate("turns", none, joined).alias("messages"))
+    spoken = F.filter("messages", lambda m: m["role"] != "system")
+    answered = (F.get(spoken, F.lit(0))["role"] == "user") & (F.element_at("messages", -1)["role"] == "assistant")
+    return records.withColumn("answered", F.coalesce(answered, F.lit(False)))
+
+
 def chat_texts(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Instruction records as one tagged chat text each."""
     return records.select(chat_text(F.col("instruction"), F.col("output")).alias("text"), *keep)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import infer, prepare
+from pairloom.operators.prepare import chat_conversations
 from pairloom.plans.curation import curate, prepare as prepare_files, write_requests
 from pairloom.sources import schemas, tables
 
@@ -83,3 +84,28 @@ def test_write_requests_skips_done_batches(spark, tmp_path):
     write_requests(full, full, str(tmp_path / "r"), done, batch_size=10)
     stored = spark.read.schema(schemas.REQUEST + ", batch_id bigint").json(str(tmp_path / "r"))
     assert {r["batch_id"]: r["count"] for r in stored.groupBy("batch_id").count().collect()} == {0: 10, 2: 5}
+
+
+def test_conversations(spark):
+    rows = [
+        (1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "assistant", "c"), (1, 4, "user", "d"),
+        (2, 0, "user", "x"), (2, 0, "user", "w"), (2, 1, "user", ""), (2, 2, "user", None), (2, 3, None, "y"),
+        (3, 0, "assistant", "z"), (3, 1, "assistant", "z"), (4, None, "user", "no turn"), (None, 1, "user", "p"), (None, 1, "assistant", "q"),
+        (5, -1, "user", "before"), (6, 0, "system", "alone"),
+    ]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part long").repartition(3)
+    got = {(r[0], r[1]): ([tuple(m) for m in r[2]], r[3]) for r in chat_conversations(turns, span=4).collect()}
+    assert got == {
+        (1, 0): ([("system", "s"), ("user", "a"), ("assistant", "b\n\nc")], True), (1, 1): ([("user", "d")], False),
+        (2, 0): ([("user", "w\n\nx")], False), (3, 0): ([("assistant", "z\n\nz")], False), (4, None): ([("user", "no turn")], False),
+        (None, 0): ([("assistant", "q"), ("user", "p")], False), (5, -1): ([("user", "before")], False),
+        (6, 0): ([("system", "alone")], False),
+    }
+    assert chat_conversations(turns.limit(0)).collect() == []
+
+
+def test_a_long_conversation_is_cut(spark):
+    turns = spark.range(5000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "cast(id as string) as text")
+    got = chat_conversations(turns).collect()
+    assert len(got) == 79 and max(len(r["messages"]) for r in got) == 64 and all(r["answered"] for r in got)
+    assert sorted(int(m["content"]) for r in got for m in r["messages"]) == list(range(5000))
