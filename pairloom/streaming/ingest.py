@@ -11,35 +11,27 @@ from pairloom.session import stored
 
 
 def response_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Responses from JSON line files, with a ``place`` of their own and their arrival.
+    """Responses from JSON line files, with a ``place`` of their own.
 
     A file is read once by the stream's own log. The place is a uuid: its seed is fixed per
     micro-batch and partition and it is drawn straight after the file scan, so a task
     that runs again draws the same ones.
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return parse_lines(lines.withColumn("place", F.uuid()), keep=("place",)).withColumn(
-        "arrived", F.current_timestamp()
-    )
+    return parse_lines(lines.withColumn("place", F.uuid()), keep=("place",))
 
 
-def outcome_stream(
-    responses: DataFrame, keys: DataFrame, redelivery_window: str = "14 days"
-) -> DataFrame:
-    """Responses with their outcome, each key accepted once.
+def accepted_keys(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Keys accepted by the micro-batches before number ``before``, as stored beside the rows."""
+    keys = spark.read.schema("key string, batch bigint").parquet(path)
+    return keys.filter(F.col("batch") < before).select("key")
 
-    The outcome comes first: a key counts as delivered only once a response for it is
-    good, so a good retry after a failed one is taken, and every failure is kept. Good
-    responses of a key that has one are dropped for ``redelivery_window`` after its
-    arrival. The window runs on processing time, so no row is ever too late and the state
-    stays bounded. ``keys`` is narrow, the known request keys.
-    """
-    rows = judged(responses.withWatermark("arrived", redelivery_window), keys, keep=("place", "arrived"))
-    once = F.when(F.col("outcome") == "ok", F.col("key")).otherwise(F.col("place"))
-    return (
-        rows.withColumn("_once", once).dropDuplicatesWithinWatermark(["_once"])
-        .drop("_once", "arrived", "place")
-    )
+
+def fresh(good: DataFrame, known: DataFrame) -> DataFrame:
+    """Good responses whose key was never accepted, one per key: that of the least place."""
+    rows = good.join(known, "key", "left_anti")
+    kept = F.min_by(F.struct(*[F.col(c) for c in good.columns]), "place")
+    return rows.groupBy(F.col("key").alias("_key")).agg(kept.alias("_kept")).select("_kept.*")
 
 
 def ingest(
@@ -50,26 +42,35 @@ def ingest(
     rejected_path: str,
     checkpoint: str,
     order: str | None = None,
-    redelivery_window: str = "14 days",
     files_per_trigger: int = 1000,
 ) -> StreamingQuery:
     """Read all files present, write accepted and rejected rows, stop.
 
     The pairs are keyed and written once, before the stream starts; with ``order`` the last pair
     of a repeated key is the one. A micro-batch reads their keys alone, and their texts for
-    its accepted rows. Each micro-batch writes to a folder named by its number, so a batch run
-    again after a failure replaces its own output and nothing is doubled. ``checkpoint``
-    must be on storage the whole cluster reaches.
+    its accepted rows. The outcome comes first: a key counts as delivered only once a response for it is
+    good, so a good retry after a failed one is taken, and every failure is kept. Keys once accepted are a
+    table of their own, ``<accepted_path>-keys``, narrow and stored by micro-batch; good responses meet it in an
+    anti join, so a redelivery is dropped however late it comes, and the stream itself holds no state.
+
+    Each micro-batch writes to a folder named by its number and looks at the keys of earlier
+    ones alone, so a batch run again after a failure replaces its own output and nothing is doubled or
+    lost. ``checkpoint`` must be on storage the whole cluster reaches.
     """
     keyed = stored(keyed_pairs(pairs, order), "keyed-pairs")
+    keys_path = f"{accepted_path.rstrip('/')}-keys"
+    keyed.select("key").limit(0).write.mode("ignore").parquet(f"{keys_path}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         good = F.col("outcome") == "ok"
         try:
-            generated(batch.filter(good).join(keyed, "key")).write.mode("overwrite").parquet(
-                f"{accepted_path}/batch={number}"
-            )
+            taken = fresh(batch.filter(good), accepted_keys(batch.sparkSession, keys_path, number)).persist()
+            try:
+                generated(taken.join(keyed, "key")).drop("place").write.mode("overwrite").parquet(f"{accepted_path}/batch={number}")
+                taken.select("key").write.mode("overwrite").parquet(f"{keys_path}/batch={number}")
+            finally:
+                taken.unpersist()
             batch.filter(~good).select("key", "outcome").write.mode("overwrite").parquet(
                 f"{rejected_path}/batch={number}"
             )
@@ -78,7 +79,7 @@ def ingest(
 
     responses = response_stream(spark, folder, files_per_trigger)
     return (
-        outcome_stream(responses, keyed.select("key"), redelivery_window)
+        judged(responses, keyed.select("key"), keep=("place",))
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import generate
 from pairloom.sources import schemas, tables
-from pairloom.streaming.ingest import ingest
+from pairloom.streaming.ingest import accepted_keys, fresh, ingest
 
 LONG = "long text " * 20
 
@@ -148,6 +148,29 @@ def test_good_retry_after_a_failed_delivery(spark, pairs, tmp_path):
     assert bad == ["too_short", "unparsable"]
 
 
+def test_redelivery_is_dropped_after_any_time(spark, pairs, tmp_path):
+    """Stream state has no part in it: every run is a new query, and keys are looked up where they are stored."""
+    landing, run = tmp_path / "in", {n: str(tmp_path / n) for n in ("ok", "bad", "log")}
+    landing.mkdir()
+    twice = line("resume_5_job_7", body())
+    (landing / "0.jsonl").write_text(f"{twice}\n{twice}\n")
+    ingest(spark, str(landing), pairs, run["ok"], run["bad"], run["log"], order="idx").awaitTermination()
+    for n in (1, 2):
+        (landing / f"{n}.jsonl").write_text(line("resume_5_job_7", body(LONG + "late")) + "\n")
+        ingest(spark, str(landing), pairs, run["ok"], run["bad"], run["log"], order="idx").awaitTermination()
+    made = spark.read.parquet(run["ok"] + "/*").collect()
+    assert [(r["resume_id"], r["tailored_resume"]) for r in made] == [(5, LONG)]
+
+
+def test_a_micro_batch_run_again_looks_at_earlier_ones_alone(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    for n, keys in ((-1, []), (0, ["a"]), (1, ["b", "c"])):
+        spark.createDataFrame([(k,) for k in keys], "key string").write.parquet(f"{path}/batch={n}")
+    assert accepted_keys(spark, path, 0).collect() == []
+    good = spark.createDataFrame([("b", "2", 1), ("b", "1", 2), ("a", "3", 3), ("d", "4", 4)], "key string, place string, n int")
+    assert sorted(map(tuple, fresh(good, accepted_keys(spark, path, 1)).collect())) == [("b", "1", 2), ("d", "4", 4)]
+
+
 def test_batch_files(spark, pairs, tmp_path):
     rows = generate.requests(pairs.withColumn("batch_id", F.col("resume_id") % 3), keep=("batch_id",))
     tables.write_batches(rows, str(tmp_path / "out"))
