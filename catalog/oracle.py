@@ -119,6 +119,7 @@ vocab AS (
   SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tf GROUP BY term
   HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1000)
 """
+LARGE_DOCS = DOCS.replace("LIMIT 1000)", "LIMIT 100000)")
 WEIGHTS = DOCS + """,
 raw AS (
   SELECT side, id, term, tf * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS w
@@ -554,6 +555,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT l.*, l.after_dedup * r.after_dedup AS potential_pairs FROM l, r""",
         "head_rows": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50",
         "vocabulary": f"WITH {DOCS} SELECT * FROM vocab",
+        "vocabulary_large": f"""WITH {LARGE_DOCS}
+            SELECT *, row_number() OVER (ORDER BY total DESC, term) AS rank FROM vocab""",
+        "tfidf_topk_large": f"""WITH {SCORES.replace(DOCS, LARGE_DOCS)} SELECT * FROM every_pair
+            QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) <= 4""",
         "tfidf_weights": f"WITH {WEIGHTS} SELECT id, term, round(weight, 6) AS weight FROM weights WHERE side = 'l'",
         "tfidf_topk": f"""WITH {SCORES} SELECT * FROM every_pair
             QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) <= 4""",
@@ -614,6 +619,20 @@ def oracle_sql() -> dict[str, str]:
             similarity_score FROM records""",
         "chat_records": f"""WITH {RECORDS} SELECT idx, 0 AS position, 'user' AS role, instruction AS content FROM records
             UNION ALL SELECT idx, 1, 'assistant', output FROM records""",
+        "chat_multi_turn": """WITH kept AS (
+              SELECT conv_id, turn // 4 AS part, turn, role, text FROM conversations WHERE text <> '' AND role <> ''),
+            marked AS (
+              SELECT *, (lag(role) OVER w IS DISTINCT FROM role)::INTEGER AS new FROM kept
+              WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn, role, text)),
+            runs AS (
+              SELECT *, sum(new) OVER (PARTITION BY conv_id, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+            messages AS (
+              SELECT conv_id, part, run, any_value(role) AS role, string_agg(text, E'\n\n' ORDER BY turn, role, text) AS content
+              FROM runs GROUP BY ALL)
+            SELECT conv_id, part, count(*)::INTEGER AS messages,
+              coalesce(first(role ORDER BY run) FILTER (role <> 'system') = 'user' AND last(role ORDER BY run) = 'assistant', false) AS answered,
+              string_agg(role, ',' ORDER BY run) AS roles, md5(string_agg(role || ': ' || content, E'\n' ORDER BY run)) AS text_md5
+            FROM messages GROUP BY conv_id, part""",
         "chat_text": f"""WITH {RECORDS}
             SELECT {template(CHAT_TEMPLATE, instruction="instruction", output="output")} AS text, idx FROM records""",
         "split_exact": f"WITH {SPLIT} SELECT * FROM split_rows",

@@ -96,7 +96,21 @@ def _pairs(spark, folder, k, target):
 @query
 def vocabulary(spark, folder):
     left, right = _sides(spark, folder)
-    return match.vocabulary(left.unionByName(right), "text")
+    return match.vocabulary(left.unionByName(right), "text").drop("rank")
+
+
+@query
+def vocabulary_large(spark, folder):
+    """Up to 100,000 terms."""
+    left, right = _sides(spark, folder)
+    return match.vocabulary(left.unionByName(right), "text", max_features=100_000)
+
+
+@query
+def tfidf_topk_large(spark, folder):
+    """Best four pages of every document, by up to 100,000 terms."""
+    left, right = _sides(spark, folder)
+    return match.top_candidates(left, right, match.fit_tfidf(left, right, max_features=100_000), 4)
 
 
 @query
@@ -111,7 +125,7 @@ def tfidf_topk(spark, folder):
     """Best four pages of every document."""
     left, right = _sides(spark, folder)
     model = match.fit_tfidf(left, right)
-    return match.top_candidates(left, right, model, 4, left.count())
+    return match.top_candidates(left, right, model, 4)
 
 
 @query
@@ -346,6 +360,19 @@ def chat_records(spark, folder):
     )
 
 
+@query
+def chat_multi_turn(spark, folder):
+    """Whole conversations, four turn numbers a record."""
+    turns = fx.spread(tables.read_table(spark, folder, "conversations"), "conv_id", "turn")
+    rows = prepare.chat_conversations(turns, span=4)
+    lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return rows.select(
+        "conv_id", "part", F.size("messages").alias("messages"), "answered",
+        F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+        F.md5(F.array_join(lines, "\n")).alias("text_md5"),
+    )
+
+
 @query
 def chat_text(spark, folder):
     rows = prepare.training_records(fx.examples(spark, folder), "instruction", keep=("idx",))
