@@ -28,6 +28,11 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]
         yield first, len(sizes)
 
 
+def release() -> None:
+    """Give back what Arrow holds for later; a worker may stay idle while others need the memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(
     docs: DataFrame, make: Callable[[], Callable[[list], dict]], fields: list[T.StructField],
     *, id_col: str, text_col: str, most: int = PIECE_BYTES,
@@ -49,6 +54,7 @@ def map_texts(
                 columns = [ids.slice(a, b - a).cast(arrow.field(0).type)]
                 columns += [pa.array(made[f.name], type=arrow.field(f.name).type) for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -67,6 +73,7 @@ def filter_texts(
                 keep = work([t or "" for t in part.column(place).to_pylist()])
                 held = part.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held.columns, arrow, strict=True)], schema=arrow)
+        release()
 
     return docs.mapInArrow(run, schema)
 

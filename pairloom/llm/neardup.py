@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.batches import map_texts, pieces
+from pairloom.llm.batches import map_texts, pieces, release
 from pairloom.llm.words import SPACED, WordTable
 from pairloom.session import stored
 
@@ -173,6 +173,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     shared = len(np.intersect1d(own, last[1], assume_unique=True))
                     ok.append(100 * shared >= percent * (len(own) + len(last[1]) - shared))
                 yield part.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return joined.select("u", "v", "u_text", "v_text").mapInArrow(run, "u binary, v binary")
 
@@ -279,6 +280,7 @@ def one_of_each(
                 keys = pa.array([set_key(s) if len(s) else None for s in shingler(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), keys], names=["doc", "id", "key"])
+        release()
 
     keyed = packed.mapInArrow(run, schema).alias("k")
     same = F.col("k.id").eqNullSafe(F.col("i.id")) & (F.col("k.key") == F.col("i.own"))

@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 from pairloom.llm.batches import filter_texts, map_texts, pieces
 from pairloom.session import stored
 
+# n-grams of a piece of text take some forty times its bytes
+PIECE = 1 << 20
 BITS = 19
 SIZES = (3, 4, 5)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -189,7 +191,7 @@ def score(
         return work
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col)
+    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, most=PIECE)
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -198,4 +200,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
         scores_of = _scorer(model)
         return lambda texts: scores_of(texts) < threshold
 
-    return filter_texts(docs, make, text_col=text_col)
+    return filter_texts(docs, make, text_col=text_col, most=PIECE)
