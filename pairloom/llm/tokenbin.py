@@ -275,7 +275,7 @@ def write_ids(
         if texts:
             yield segment()
 
-    (rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    (rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
      .mapInArrow(run, schema).withColumn("shard", F.spark_partition_id())
      .write.option("compression", "none").parquet(path))
 
