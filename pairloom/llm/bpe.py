@@ -103,6 +103,7 @@ class Coder:
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute(f"SET memory_limit = '{memory}'")
+        self.con.execute("SET temp_directory = ''")  # nothing is spilled to a worker's own disk
         self._table("merges", l=left, r=right, m=merged)
         self.con.execute("CREATE TABLE unsafe AS SELECT DISTINCT l AS m FROM merges WHERE m < l"
                          " UNION SELECT DISTINCT r FROM merges WHERE m < r")
