@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,8 +30,12 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]
 
 
 def release() -> None:
-    """Give back what Arrow holds for later; a worker may stay idle while others need the memory."""
+    """Give back what Arrow and the C library hold for later; a worker may stay idle while others
+    need the memory."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def map_texts(

@@ -38,6 +38,7 @@ SHINGLE = 5
 ROWS = 6
 MISS = 1e-6
 PIECE = 1 << 18
+WORD = r"[^\x20\x09-\x0D]"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -266,28 +267,42 @@ def one_of_each(
     component of ``near_duplicates`` exactly one row stays: that of the least id (null ids last); where texts with
     different sets share that id, one of them, chosen by the set; of rows that repeat both, any one.
     """
-    rooted, _ = _grouped(docs, id_col, text_col, percent, bands, rows)
+    rooted, table = _grouped(docs, id_col, text_col, percent, bands, rows)
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("one"))
-    ids = stored(chosen.select(F.col("one.id").alias("id"), F.col("one.key").alias("own")), "chosen")
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = stored(
+        chosen.select(F.col("one.id").alias("own_id"), F.col("one.key").alias("own"))
+        .join(_single(table), F.col("own_id").eqNullSafe(F.col("single")), "left")
+        .select("own_id", "own", F.col("single").isNotNull().alias("alone")), "chosen")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
+    mine = F.col(id_col).eqNullSafe(F.col("own_id"))
+    kept = docs.filter(~worded).union(
+        docs.filter(worded).join(ids.filter("alone").select("own_id"), mine, "left_semi"))
+    shared = ids.filter("not alone").drop("alone")
+    if shared.isEmpty():
+        return kept
+    # ids of several rows: which of them has the chosen set
+    near = docs.filter(worded).join(shared.select("own_id").distinct(), mine, "left_semi")
+    packed = near.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["doc"], packed.schema["id"], T.StructField("key", T.BinaryType())])
 
     def run(batches):
         shingler = Shingler()
         for batch in batches:
             for a, b in pieces(batch.column(2), PIECE):
-                texts = [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]
-                keys = pa.array([set_key(s) if len(s) else None for s in shingler(texts)], pa.binary())
+                keys = pa.array([set_key(s) for s in shingler(batch.column(2).slice(a, b - a).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), keys], names=["doc", "id", "key"])
         release()
 
-    keyed = packed.mapInArrow(run, schema).alias("k")
-    same = F.col("k.id").eqNullSafe(F.col("i.id")) & (F.col("k.key") == F.col("i.own"))
-    held = keyed.join(ids.alias("i"), same, "left").filter(F.col("k.key").isNull() | F.col("i.own").isNotNull())
-    # rows without words differ in a number, repeats of a chosen row do not
-    each = F.when(F.col("k.key").isNull(), F.monotonically_increasing_id())
-    return held.select("k.*", each.alias("each")).dropDuplicates(["id", "key", "each"]).select("doc.*")
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own"))
+    each = packed.mapInArrow(run, schema).join(shared, same, "left_semi").dropDuplicates(["id", "key"])
+    return kept.union(each.select("doc.*"))
+
+
+def _single(table: DataFrame) -> DataFrame:
+    """The ids that only one row has; such an id finds its text without working out sets again."""
+    once = table.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n = 1")
+    return once.select(F.col("doc_id").alias("single"))
 
 
 def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +318,10 @@ def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, D
     members = stored(filed.join(shared.select("bucket"), "bucket"), "buckets")
     # texts of classes that share a bucket, one row each
     involved = members.select("key").distinct()
-    row_ids = table.join(involved, "key", "left_semi").groupBy("key").agg(F.first("doc_id", True).alias("id"))
+    found_in = table.join(involved, "key", "left_semi").select("key", "doc_id").join(
+        _single(table), F.col("doc_id") == F.col("single"), "left")
+    row_ids = stored(
+        found_in.groupBy("key").agg(F.first("single", True).alias("single"), F.first("doc_id", True).alias("id")), "row-ids")
     texts = stored(_texts(docs, row_ids, id_col, text_col).withColumn("no", F.monotonically_increasing_id()), "texts")
     # shingles that no other of these texts has; a class with too many of them has no link
     own = _unique_shingles(texts)
@@ -366,6 +384,7 @@ def _unique_shingles(texts: DataFrame) -> DataFrame:
                 numbers = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)), pa.array(numbers)], names=["shingle", "no"])
+        release()
 
     each = texts.select("no", "text").mapInArrow(run, "shingle long, no long")
     single = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("no").alias("no")).filter("texts = 1")
@@ -373,10 +392,16 @@ def _unique_shingles(texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, row_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, text) of the classes in ``row_ids``, one row per class. An id may stand for several
-    texts, so keys are worked out again and matched; rows without an id are all looked at."""
+    """(key, text) of the classes in ``row_ids``, one row per class, by an id that one row has. Where a
+    class has none, its id may stand for several texts, so keys are worked out again and matched;
+    rows without an id are then all looked at."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = row_ids.select("id").distinct()
+    plain = rows.join(row_ids.filter("single is not null").select("key", "single"), F.col("doc_id") == F.col("single"))
+    plain = plain.select("key", "text")
+    shared = row_ids.filter("single is null").select("key", "id")
+    if shared.isEmpty():
+        return plain
+    wanted = shared.select("id").distinct()
     near = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]), "left_semi")
 
     def run(batches):
@@ -386,6 +411,7 @@ def _texts(docs: DataFrame, row_ids: DataFrame, id_col: str, text_col: str) -> D
                 texts = batch.column(0).slice(a, b - a)
                 keys = [set_key(s) if len(s) else None for s in shingler([t or "" for t in texts.to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), texts], names=["key", "text"])
+        release()
 
     keyed = near.select("text").mapInArrow(run, "key binary, text string")
-    return keyed.join(row_ids, "key", "left_semi").dropDuplicates(["key"])
+    return plain.union(keyed.join(shared, "key", "left_semi").dropDuplicates(["key"]))
