@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom.functions.bloom import Bloom
 from pairloom.llm.batches import map_texts, pieces, release
 from pairloom.llm.words import SPACED, WordTable
 from pairloom.session import stored
@@ -219,6 +220,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v) with as many v per u as there are bands at most, replaced by links of all of them
+    to the least: a large group whose members share leaders then has few links per member."""
+    near = links.groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("all"))
+    least = F.least("u", "least")
+    ends = F.explode(F.array_append("all", F.col("u")))
+    return near.select(ends.alias("u"), least.alias("v")).filter(F.col("u") != F.col("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) of every node with an edge but the roots: root is the component's least key.
 
@@ -269,19 +279,27 @@ def one_of_each(
     """
     rooted, table = _grouped(docs, id_col, text_col, percent, bands, rows)
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("one"))
-    ids = stored(
-        chosen.select(F.col("one.id").alias("own_id"), F.col("one.key").alias("own"))
-        .join(_single(table), F.col("own_id").eqNullSafe(F.col("single")), "left")
-        .select("own_id", "own", F.col("single").isNotNull().alias("alone")), "chosen")
+    ids = stored(chosen.select(F.col("one.id").alias("own_id"), F.col("one.key").alias("own")), "chosen")
+    # ids whose rows do not all stay: of one row that goes, or of several
+    single, named = _single(table), F.col("doc_id").isNotNull() & F.col("key").isNotNull()
+    lone = table.filter(named).select("doc_id").join(single, F.col("doc_id") == F.col("single"), "left_semi")
+    lone = lone.join(ids, F.col("doc_id") == F.col("own_id"), "left_anti").select("doc_id", F.lit(False).alias("several"))
+    several = table.filter(named).select("doc_id").join(
+        single, F.col("doc_id") == F.col("single"), "left_anti").distinct().select("doc_id", F.lit(True).alias("several"))
+    touched = stored(lone.union(several).withColumnRenamed("doc_id", "touched_id"), "touched")
+    bloom = Bloom.of(touched, "touched_id")
+    # only rows that the filter lets through move to the exact join; the others have no such id
     worded = F.coalesce(F.col(text_col), F.lit("")).rlike(WORD)
-    mine = F.col(id_col).eqNullSafe(F.col("own_id"))
-    kept = docs.filter(~worded).union(
-        docs.filter(worded).join(ids.filter("alone").select("own_id"), mine, "left_semi"))
-    shared = ids.filter("not alone").drop("alone")
+    maybe = worded & (F.col(id_col).isNull() | bloom.test(F.col(id_col), bloom.column()))
+    left_id = F.col(f"d.{id_col}")  # docs may have columns of any name
+    kept = docs.filter(~maybe).union(docs.filter(maybe & F.col(id_col).isNotNull()).alias("d").join(
+        touched.alias("t"), left_id == F.col("t.touched_id"), "left_anti"))
+    shared = ids.join(touched.filter("several"), F.col("own_id") == F.col("touched_id"), "left_semi").union(ids.filter("own_id is null"))
     if shared.isEmpty():
         return kept
     # ids of several rows: which of them has the chosen set
-    near = docs.filter(worded).join(shared.select("own_id").distinct(), mine, "left_semi")
+    wanted = shared.select("own_id").distinct()
+    near = docs.filter(worded).alias("d").join(wanted.alias("t"), left_id.eqNullSafe(F.col("t.own_id")), "left_semi")
     packed = near.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([packed.schema["doc"], packed.schema["id"], T.StructField("key", T.BinaryType())])
 
@@ -337,7 +355,7 @@ def _grouped(docs, id_col, text_col, percent, bands, rows) -> tuple[DataFrame, D
     first = stored(
         members.join(leaders.select("bucket", F.col("lead.key").alias("v"), F.col("lead.n").alias("m"), F.col("lead.own").alias("other_own")), "bucket")
         .filter((F.col("key") != F.col("v")) & fits).select(F.col("key").alias("u"), "v").distinct(), "pairs")
-    links = stored(verified(first, texts, percent), "verified")
+    links = stored(_contracted(stored(verified(first, texts, percent), "verified")), "links")
     found = components(links)
 
     # what is still in several components of a bucket: all pairs across them that may be links
@@ -396,7 +414,9 @@ def _texts(docs: DataFrame, row_ids: DataFrame, id_col: str, text_col: str) -> D
     class has none, its id may stand for several texts, so keys are worked out again and matched;
     rows without an id are then all looked at."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    plain = rows.join(row_ids.filter("single is not null").select("key", "single"), F.col("doc_id") == F.col("single"))
+    alone = row_ids.filter("single is not null").select("key", "single")
+    bloom = Bloom.of(alone, "single")
+    plain = rows.filter(bloom.test(F.col("doc_id"), bloom.column())).join(alone, F.col("doc_id") == F.col("single"))
     plain = plain.select("key", "text")
     shared = row_ids.filter("single is null").select("key", "id")
     if shared.isEmpty():

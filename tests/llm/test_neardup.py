@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pairloom.llm.neardup import components, near_duplicates, one_of_each, set_key, shingle_set, signatures
+from pairloom.llm.neardup import _contracted, components, near_duplicates, one_of_each, set_key, shingle_set, signatures
 from tests.llm.conftest import EDGES, by_id, prose
 
 
@@ -134,3 +135,30 @@ def test_sets():
 
 def test_empty(documents):
     assert by_id(near_duplicates(documents([]))) == [] and one_of_each(documents([])).count() == 0
+
+
+def test_one_of_each_with_columns_of_its_own_names(documents):
+    names = ["own_id", "touched_id", "key", "own", "single", "root", "several", "id"]
+    docs = documents([(1, "a b c d e f"), (2, "a b c d e f"), (3, ""), (4, "g h"), (4, "i j"), (None, "k l")])
+    for name in names:
+        docs = docs.withColumn(name, F.col("doc_id") + 10)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"], r["touched_id"]) for r in kept.collect()), key=str) == [
+        (0, "k l", None), (1, "a b c d e f", 11), (3, "", 13), (4, "g h", 14), (4, "i j", 14)]
+
+
+def test_contracted_links_keep_components(spark):
+    rows = [(u, v) for u in range(20, 60) for v in (u % 3, 10, 11) if u % 2] + [(100, 101), (70, 80)]
+    links = spark.createDataFrame(rows, "u long, v long")
+    made = [tuple(r) for r in _contracted(links).collect()]
+
+    def groups(edges):
+        root = {}
+        for u, v in edges:
+            a, b = root.get(u, {u}), root.get(v, {v})
+            for x in a | b:
+                root[x] = a | b
+        return {frozenset(g) for g in root.values()}
+
+    assert groups(made) == groups(rows) and len(made) < len(rows)
