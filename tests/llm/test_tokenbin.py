@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pairloom.llm.tokenbin import BLOCK, WordEncoder, pack, unpack, write_and_read
+from pairloom.llm.tokenbin import BLOCK, WordEncoder, pack, read_documents, unpack, write_and_read, write_ids
 from tests.llm.conftest import EDGES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -69,3 +69,13 @@ def test_added_tokens_are_those_of_the_unchanged_library(documents):
     rows = write_and_read(documents(enumerate(texts)), PATH, 2, added=True).collect()
     assert {r["doc_id"]: r["ids_crc32"] for r in rows} == {
         k: zlib.crc32(np.array([*w, 2], "<u4").tobytes()) for k, w in enumerate(want)}
+
+
+def test_rows_of_one_id_spread_over_tasks(documents, spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(1, " ".join(rng.choices(["the", "of", "and", "was", "is"], k=120)) + str(k)) for k in range(12_000)]
+    write_ids(documents(rows).repartition(4), PATH, 2, str(tmp_path / "ids"))
+    assert spark.read.parquet(str(tmp_path / "ids")).select("shard").distinct().count() > 1
+    got = read_documents(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    ends = [r["start"] + r["n_tokens"] for r in got]
+    assert len(got) == len(rows) and [r["start"] for r in got] == [0, *ends[:-1]]
