@@ -1,7 +1,8 @@
 """Roles of the operators' inputs, derived by Spark from the given tables.
 
 Whole tables, whole texts: documents stand for resumes, pages for job postings, a
-user turn with the assistant turn behind it for a model exchange.
+user turn with the assistant turn behind it for a model exchange. A turn nobody answered
+and a document nobody asked about stay, as pairs without an answer.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from pairloom.sources.tables import read_table
 
 BAD_TURN = 4
+# Turn of a document that no exchange picks
+UNASKED = -1
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -44,7 +47,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exchanges(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns with the assistant turn that follows, joined on (conversation, turn)."""
+    """User turns with the assistant turn that follows, null where none does."""
     turns = spread(read_table(spark, folder, "conversations"), "conv_id", "turn")
     asked = turns.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("user_text")
@@ -52,32 +55,46 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     answered = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    return asked.join(answered, ["conv_id", "turn"], "left")
+
+
+def pair_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of base and the numbers of its two documents, without a text."""
+    ids = read_table(spark, folder, "documents").select(F.col("doc_id").alias("own_id"))
+    total = F.lit(max(ids.count(), 1))
+    turns = read_table(spark, folder, "conversations").filter(F.col("role") == "user").select("conv_id", "turn")
+    picked = turns.withColumn("own_id", F.pmod(F.col("conv_id") * 7 + F.col("turn"), total))
+    return picked.join(ids, "own_id", "full").select(
+        F.coalesce("conv_id", "own_id").alias("resume_id"),
+        F.coalesce("turn", F.lit(UNASKED)).cast("long").alias("job_id"),
+        "own_id", F.pmod(F.col("own_id") + 1, total).alias("next_id"),
+    )
 
 
 def base(spark: SparkSession, folder: str) -> DataFrame:
     """Exchanges with two documents each, picked by conversation and turn together, so
-    that a very long conversation spreads over all documents."""
+    that a very long conversation spreads over all documents; then every document that
+    none of them picks, with the next one, under its own number and turn UNASKED."""
     docs = read_table(spark, folder, "documents")
     own = docs.select(
         F.col("doc_id").alias("own_id"), F.col("text").alias("original_resume"),
         F.col("source").alias("job_title"), F.col("lang").alias("lang"),
     )
     following = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("job_description"))
-    total = docs.agg(F.count(F.lit(1))).scalar()
-    user, both = F.length("user_text"), F.length("user_text") + F.length("assistant_text")
+    turns = exchanges(spark, folder).withColumnsRenamed({"conv_id": "resume_id", "turn": "job_id"})
+    user = F.length(F.coalesce("user_text", F.lit("")))
+    both = user + F.length(F.coalesce("assistant_text", F.lit("")))
     return (
-        exchanges(spark, folder)
-        .withColumn("own_id", (F.col("conv_id") * 7 + F.col("turn")) % total)
-        .withColumn("next_id", (F.col("own_id") + 1) % total)
+        pair_keys(spark, folder)
+        .join(turns, ["resume_id", "job_id"], "left")
         .join(own, "own_id", "left").join(following, "next_id", "left")
         .select(
-            F.col("conv_id").alias("resume_id"), F.col("turn").alias("job_id"),
-            F.round(user / both, 6).alias("similarity_score"),
+            "resume_id", "job_id",
+            F.when(both > 0, F.round(user / both, 6)).otherwise(0.0).alias("similarity_score"),
             "original_resume", "job_title", "job_description",
             F.when(F.col("lang") != "en", F.col("lang")).alias("job_skills"),
             "user_text", "assistant_text",
-            (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("idx"),
+            (F.col("resume_id") * (1 << 32) + F.col("job_id")).alias("idx"),
         )
     )
 
@@ -89,7 +106,8 @@ def full_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def response_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One delivered line per pair; the conversation number picks the form."""
+    """One delivered line per pair; the conversation number picks the form. A pair without
+    an answer is delivered without a text."""
     rows = base(spark, folder)
     made = F.concat("user_text", F.lit(" "), "assistant_text", F.lit("\nend"))
     letter = F.col("assistant_text")
@@ -111,8 +129,9 @@ def response_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(form == 6, "x").otherwise(""), F.lit("resume_"), F.col("resume_id").cast("string"),
         F.lit("_job_"), F.col("job_id").cast("string"),
     )
+    given = F.when(letter.isNotNull(), text)
     candidate = F.struct(
-        F.struct(F.array(F.struct(text.alias("text"))).alias("parts")).alias("content")
+        F.struct(F.array(F.struct(given.alias("text"))).alias("parts")).alias("content")
     )
     response = F.struct(F.when(form != 5, F.array(candidate)).alias("candidates"))
     line = F.to_json(F.struct(key.alias("key"), response.alias("response")))
@@ -122,18 +141,21 @@ def response_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated examples: even conversations repeat the original, odd ones are new text."""
+    """Generated examples: even conversations repeat the original, odd ones are new text.
+    For a document that no exchange picks the next one stands for the answer."""
     even = F.col("resume_id") % 2 == 0
-    paragraphs = F.replace("assistant_text", F.lit("\n"), F.lit("\n\n"))
+    rows = base(spark, folder).withColumn(
+        "answer", F.when(F.col("job_id") == UNASKED, F.col("job_description")).otherwise(F.col("assistant_text"))
+    )
     letter = F.concat(
-        F.when(F.col("job_id") == 0, paragraphs).otherwise(F.col("assistant_text")),
+        F.when(F.col("job_id") == 0, F.replace("answer", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("answer")),
         F.when(F.col("resume_id") % 3 != 0, "\n\nThis role fits me.").otherwise(""),
     )
-    return base(spark, folder).select(
+    return rows.select(
         "idx", "resume_id", "job_id", "similarity_score", "original_resume",
         F.when(F.col("resume_id") % 10 == 7, "").otherwise(F.col("job_title")).alias("job_title"),
         "job_description", "job_skills",
-        F.when(even, F.col("original_resume")).otherwise(F.col("assistant_text")).alias("tailored_resume"),
+        F.when(even, F.col("original_resume")).otherwise(F.col("answer")).alias("tailored_resume"),
         letter.alias("cover_letter"),
     )
 

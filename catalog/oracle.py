@@ -65,29 +65,37 @@ BASE = """
 turns_u AS (SELECT conv_id, turn, text AS user_text FROM conversations WHERE role = 'user'),
 turns_a AS (SELECT conv_id, turn - 1 AS turn, text AS assistant_text FROM conversations
             WHERE role = 'assistant'),
-exchanges AS (SELECT * FROM turns_u JOIN turns_a USING (conv_id, turn)),
+exchanges AS (SELECT * FROM turns_u LEFT JOIN turns_a USING (conv_id, turn)),
+picked AS (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM documents) AS own_id FROM exchanges),
+asked AS (
+  SELECT conv_id AS resume_id, turn AS job_id, own_id, user_text, assistant_text FROM picked
+  UNION ALL
+  SELECT doc_id, -1, doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT own_id FROM picked)),
 base AS (
-  SELECT e.conv_id AS resume_id, e.turn AS job_id,
-         round(length(user_text) / (length(user_text) + length(assistant_text)), 6) AS similarity_score,
+  SELECT resume_id, job_id,
+         CASE WHEN coalesce(length(user_text), 0) + coalesce(length(assistant_text), 0) = 0 THEN 0
+              ELSE round(coalesce(length(user_text), 0)
+                         / (coalesce(length(user_text), 0) + coalesce(length(assistant_text), 0)), 6)
+         END AS similarity_score,
          d.text AS original_resume, d.source AS job_title, n.text AS job_description,
          CASE WHEN d.lang <> 'en' THEN d.lang END AS job_skills,
-         user_text, assistant_text, e.conv_id * 4294967296 + e.turn AS idx
-  FROM (SELECT *, (conv_id * 7 + turn) % (SELECT count(*) FROM documents) AS own_id FROM exchanges) e
+         user_text, assistant_text, resume_id * 4294967296 + job_id AS idx
+  FROM asked
   LEFT JOIN documents d ON d.doc_id = own_id
   LEFT JOIN documents n ON n.doc_id = (own_id + 1) % (SELECT count(*) FROM documents))
 """
 
 EXAMPLES = BASE + """,
+answers AS (SELECT *, CASE WHEN job_id = -1 THEN job_description ELSE assistant_text END AS answer FROM base),
 examples AS (
   SELECT idx, resume_id, job_id, similarity_score, original_resume,
          CASE WHEN resume_id % 10 = 7 THEN '' ELSE job_title END AS job_title,
          job_description, job_skills,
-         CASE WHEN resume_id % 2 = 0 THEN original_resume ELSE assistant_text END AS tailored_resume,
-         (CASE WHEN job_id = 0 THEN replace(assistant_text, chr(10), chr(10) || chr(10))
-               ELSE assistant_text END)
+         CASE WHEN resume_id % 2 = 0 THEN original_resume ELSE answer END AS tailored_resume,
+         (CASE WHEN job_id = 0 THEN replace(answer, chr(10), chr(10) || chr(10)) ELSE answer END)
          || (CASE WHEN resume_id % 3 <> 0 THEN chr(10) || chr(10) || 'This role fits me.' ELSE '' END)
            AS cover_letter
-  FROM base)
+  FROM answers)
 """
 
 RESULTS = BASE + """,
@@ -178,14 +186,14 @@ RESPONSES = BASE + f""",
 sent AS (
   SELECT *, resume_id % 8 AS form,
     (CASE WHEN resume_id % 8 = 6 THEN 'x' ELSE '' END) || 'resume_' || resume_id || '_job_' || job_id AS key,
-    CASE resume_id % 8
+    CASE WHEN assistant_text IS NULL THEN NULL ELSE CASE resume_id % 8
       WHEN 1 THEN '```json' || chr(10) || {_WHOLE} || chr(10) || '```'
       WHEN 2 THEN '{{"tailored_resume": "' || {_MADE} || '", "cover_letter": "' || assistant_text || '"}}'
       WHEN 3 THEN '"tailored_resume" ' || {_MADE} || ' "cover_letter" ' || assistant_text
       WHEN 4 THEN '{{"tailored_resume": "' || {_MADE}
       WHEN 5 THEN NULL
       WHEN 7 THEN {_SHORT}
-      ELSE {_WHOLE} END AS raw
+      ELSE {_WHOLE} END END AS raw
   FROM base),
 opened AS (
   SELECT *, {strip("regexp_replace(regexp_replace(regexp_replace(" + strip("raw") + ", '\\A```json', ''), '\\A```', ''), '```\\z', '')")} AS t
@@ -225,8 +233,7 @@ FROM outcomes WHERE outcome = 'ok'"""
 
 BATCHED = """,
 batched AS (
-  SELECT conv_id AS resume_id, turn AS job_id,
-         (row_number() OVER (ORDER BY conv_id, turn) - 1) // 100 AS batch_id FROM exchanges)
+  SELECT resume_id, job_id, (row_number() OVER (ORDER BY resume_id, job_id) - 1) // 100 AS batch_id FROM base)
 """
 
 # ------------------------------------------------------------------ quality
@@ -581,13 +588,13 @@ def oracle_sql() -> dict[str, str]:
         "ingest_inline": f"""WITH {RESPONSES} SELECT key, outcome, tailored_resume, cover_letter FROM outcomes
             WHERE outcome <> 'bad_line'""",
         "outcome_counts": f"""WITH {RESPONSES} SELECT outcome, count(*) AS responses,
-            round(count(*) / (SELECT count(*) FROM exchanges) * 100, 6) AS pct_of_sent
+            round(count(*) / (SELECT count(*) FROM base) * 100, 6) AS pct_of_sent
             FROM outcomes GROUP BY outcome""",
         "ingest_summary": f"""WITH {RESPONSES} SELECT
             count(*) FILTER (WHERE outcome = 'ok') AS success_count,
             count(*) FILTER (WHERE outcome <> 'ok') AS fail_count,
-            round(count(*) FILTER (WHERE outcome = 'ok') / (SELECT count(*) FROM exchanges) * 100, 6) AS success_pct,
-            round(count(*) FILTER (WHERE outcome <> 'ok') / (SELECT count(*) FROM exchanges) * 100, 6) AS fail_pct
+            round(count(*) FILTER (WHERE outcome = 'ok') / (SELECT count(*) FROM base) * 100, 6) AS success_pct,
+            round(count(*) FILTER (WHERE outcome <> 'ok') / (SELECT count(*) FROM base) * 100, 6) AS fail_pct
             FROM outcomes""",
         "batch_progress": f"""WITH {RESPONSES} {BATCHED},
             per AS (SELECT batch_id, count(*) FILTER (WHERE outcome = 'ok') AS processed
@@ -595,7 +602,7 @@ def oracle_sql() -> dict[str, str]:
                     GROUP BY batch_id)
             SELECT batch_id, processed,
               CAST(sum(processed) OVER (ORDER BY batch_id) AS BIGINT) AS running_total,
-              (SELECT count(*) FROM exchanges) AS total_rows FROM per""",
+              (SELECT count(*) FROM base) AS total_rows FROM per""",
         "quality_issue": f"WITH {QUALITY} SELECT idx, issue, {_KIND} AS kind FROM labelled",
         "quality_routing": f"""WITH {QUALITY} SELECT idx,
             CASE WHEN issue IS NULL THEN 'valid' ELSE 'invalid' END AS route FROM labelled""",

@@ -177,9 +177,7 @@ def request_json(spark, folder):
 
 
 def _batched(spark, folder):
-    pairs = fx.exchanges(spark, folder).select(
-        F.col("conv_id").alias("resume_id"), F.col("turn").alias("job_id")
-    )
+    pairs = fx.pair_keys(spark, folder).select("resume_id", "job_id")
     return generate.assign_batches(pairs, ["resume_id", "job_id"])
 
 
@@ -215,14 +213,14 @@ def ingest_rows(spark, folder):
 
 @query
 def outcome_counts(spark, folder):
-    sent = fx.exchanges(spark, folder).agg(F.count(F.lit(1))).scalar()
+    sent = fx.pair_keys(spark, folder).agg(F.count(F.lit(1))).scalar()
     counts = generate.outcome_counts(_outcomes(spark, folder), sent)
     return counts.withColumn("pct_of_sent", F.round("pct_of_sent", 6))
 
 
 @query
 def ingest_summary(spark, folder):
-    sent = fx.exchanges(spark, folder).agg(F.count(F.lit(1))).scalar()
+    sent = fx.pair_keys(spark, folder).agg(F.count(F.lit(1))).scalar()
     row = generate.ingest_summary(_outcomes(spark, folder), sent)
     return row.withColumn("success_pct", F.round("success_pct", 6)).withColumn(
         "fail_pct", F.round("fail_pct", 6)
@@ -510,7 +508,8 @@ def embedding_similarity(spark, folder):
 
 @query
 def keyword_overlap_rows(spark, folder):
-    overlap = keyword_overlap(F.col("tailored_resume"), evaluate.target_text(), OVERLAP_STOP_WORDS)
+    made = F.coalesce("tailored_resume", F.lit(""))
+    overlap = keyword_overlap(made, evaluate.target_text(), OVERLAP_STOP_WORDS)
     return fx.results(spark, folder).select("idx", F.round(overlap, 6).alias("overlap"))
 
 
