@@ -7,10 +7,9 @@ blocks is within two bits of the item's, so the tables miss none. What they let
 by its full Hamming distance, and what remains by the exact similarity of five-word shingles,
 weighted by how often they occur: the sum of the lesser counts over the sum of the greater.
 
-Windows start at every fourth word (every word for items under 8 words, every eighth from 128 words on,
-and so on). Each item
-is filed once per alignment, so a copied passage meets a fingerprint of exactly its words wherever
-it starts. Documents pass by once per block of items; a block is at most ``block_bytes`` of item text in
+Windows start at every fourth word (every word for items under 8 words, every eighth from 64 words on,
+every sixteenth from 128 on, and so on). Each item is filed once per alignment, from its first word that a window can start at
+to the last whole stride, so a copied passage meets a fingerprint of its own words wherever it starts. Documents pass by once per block of items; a block is at most ``block_bytes`` of item text in
 expectation, so what is sent to the tasks is bounded. Nothing of a document is shuffled.
 """
 
@@ -104,10 +103,8 @@ class ItemIndex:
             self.ids.append(key)
             self.sizes.append(n)
             self.shingles.append(shingles(words.hashes[numbers]))
-            # sizes in wider steps for longer items, so that fewer sizes have to be slid over
-            unit = step if n < 32 else 2 * step
             for offset in range(min(step, n)):
-                size = (n - offset) // unit * unit
+                size = (n - offset) // step * step
                 if size:
                     total = words.signs[numbers[offset:offset + size]].sum(axis=0, dtype=np.int32)
                     print_ = np.packbits(total > 0, bitorder="little").view("<u8")[0]

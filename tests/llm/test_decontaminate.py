@@ -86,3 +86,44 @@ def test_empty(documents, benchmark):
     assert find_leaks(documents([]), benchmark).count() == 0
     assert find_leaks(documents(COPIES[:3]), benchmark.limit(0)).count() == 0
     assert without_leaks(documents(COPIES[:3]), benchmark.limit(0)).count() == 3
+
+
+def altered(words, rng, seed):
+    """The words with one run replaced, left out or put in, as long as similarity stays 0.8."""
+    n, best = len(words), None
+    at, new = int(rng.integers(0, n)), prose(seed, n, 5000)
+    kind = rng.choice(["replace", "leave out", "put in"])
+    index = ItemIndex([0], [" ".join(words)])
+    for run in range(1, n):
+        if kind == "replace":
+            got = words[:at] + new[:len(words[at:at + run])] + words[at + run:]
+        elif kind == "leave out":
+            got = words[:at] + words[at + run:]
+        else:
+            got = words[:at] + new[:run] + words[at:]
+        # the place that the search measures has the item's length, at any start: brute force
+        line = prose(seed + 1, n, 5000) + got + prose(seed + 2, n, 5000)
+        hashes = SignedWords(PLAIN)
+        numbers = hashes.texts([" ".join(line)])[0]
+        own = hashes.hashes[numbers]
+        value = max(similarity(index.shingles[0], shingles(own[a:a + n])) for a in range(n // 2, 2 * n))
+        if value < 0.8:
+            break
+        best = line
+    return best
+
+
+@pytest.mark.parametrize("n", [15, 24, 32, 39, 59, 79, 100, 159, 300])
+def test_recall_of_altered_passages(n):
+    """Against brute force over all windows: the longest alteration that leaves 0.8 somewhere."""
+    rng, found, tried = np.random.default_rng(n), 0, 0
+    for k in range(40 if n < 60 else 12):
+        words = prose(7000 + 100 * n + k, n, 5000)
+        line = altered(words, rng, 90000 + 100 * n + k)
+        if line is None:
+            continue
+        matcher = Matcher(ItemIndex([0], [" ".join(words)]), 0.8)
+        tried += 1
+        found += bool(matcher.match([" ".join(line)])[0])
+    print(f"{n} words: {found} of {tried} found")
+    assert found >= 0.95 * tried
