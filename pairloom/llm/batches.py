@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[tuple[int, int]
 def release() -> None:
     """Give back what Arrow and the C library hold for later; a worker may stay idle while others
     need the memory."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim:
@@ -59,6 +61,8 @@ def map_texts(
                 columns = [ids.slice(a, b - a).cast(arrow.field(0).type)]
                 columns += [pa.array(made[f.name], type=arrow.field(f.name).type) for f in fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        # nothing of the task may be held any longer when memory is given back
+        work = batch = ids = texts = made = columns = None
         release()
 
     return rows.mapInArrow(run, schema)
@@ -78,6 +82,8 @@ def filter_texts(
                 keep = work([t or "" for t in part.column(place).to_pylist()])
                 held = part.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(held.columns, arrow, strict=True)], schema=arrow)
+        # nothing of the task may be held any longer when memory is given back
+        work = batch = part = keep = held = None
         release()
 
     return docs.mapInArrow(run, schema)

@@ -83,10 +83,11 @@ def _block_table(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Fingerprints filed under every 16-bit number within two bits of their block's value:
     how many, where they start, and their numbers."""
     near = (values[:, None] ^ FLIPS[None, :]).ravel()
-    number = np.repeat(np.arange(len(values)), len(FLIPS))
+    kind = np.int32 if near.size < 1 << 31 else np.int64
+    number = np.repeat(np.arange(len(values), dtype=kind), len(FLIPS))
     count = np.bincount(near, minlength=1 << 16)
     small = count.astype(np.min_scalar_type(int(count.max())))
-    return small, np.cumsum(count) - count, number[np.argsort(near, kind="stable")]
+    return small, (np.cumsum(count) - count).astype(kind), number[np.argsort(near, kind="stable")]
 
 
 class ItemIndex:
