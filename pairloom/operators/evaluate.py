@@ -202,21 +202,37 @@ def evaluate(
 ) -> DataFrame:
     """All metrics of a result table, from one scan and one aggregate.
 
-    ROUGE, BLEU and vector similarity count only if some resume reference is there.
+    ROUGE, BLEU and vector similarity count only if some resume reference is there; that is looked up first, and
+    without one they are not worked out.
     ``vectors`` names, per side, the two vector columns. Keyword overlap is given
     against title plus description and, as ``title_overlap``, against the title alone.
     """
     vectors = vectors or {}
+    prediction, truth = SIDES[0][1:]
+    gate = not results.filter(F.coalesce(truth, F.lit("")) != "").select(F.lit(1)).limit(1).isEmpty()
     tokens, longest, scores, pairs = [], [], [], []
-    # (section, metric, aggregate of a score column, needs references)
-    metrics: list[tuple[str, str, Column, bool]] = []
-    for side, made, truth in SIDES:
+    # (section, metric, aggregate of a score column)
+    metrics: list[tuple[str, str, Column]] = []
+
+    def add_lengths(side: str, made: str) -> None:
+        nonlocal metrics
+        tokens.append(F.length(made).alias(f"{side}_length"))
+        scores.append(F.col(f"{side}_length"))
+        metrics += _spread_metrics(f"length_stats_{side}", "length", f"{side}_length")
+        metrics += [
+            (f"length_stats_{side}", f"length_{name}", f(f"{side}_length"))
+            for name, f in (("min", F.min), ("max", F.max))
+        ]
+
+    for side, made, reference in SIDES:
+        if not gate:
+            add_lengths(side, made)
+            continue
         tokens += [
-            _rouge_tokens(made, stemmed).alias(f"{side}_p"), _rouge_tokens(truth, stemmed).alias(f"{side}_r"),
+            _rouge_tokens(made, stemmed).alias(f"{side}_p"), _rouge_tokens(reference, stemmed).alias(f"{side}_r"),
             F.struct(
-                bleu_tokens(F.col(made)).alias("p"), bleu_tokens(F.col(truth)).alias("r")
+                bleu_tokens(F.col(made)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
             ).alias(f"{side}_bleu"),
-            F.length(made).alias(f"{side}_length"),
         ]
         p, r = F.col(f"{side}_p"), F.col(f"{side}_r")
         longest.append(lcs_length(p, r).alias(f"{side}_common"))
@@ -229,7 +245,7 @@ def evaluate(
         rouge["rougeL"] = f_measure(F.col(f"{side}_common"), F.size(p), F.size(r))
         scores += [c.alias(f"{side}_{name}") for name, c in rouge.items()]
         metrics += [
-            (f"rouge_{side}", f"{name}_{part}", F.avg(f"{side}_{name}.{part}"), True)
+            (f"rouge_{side}", f"{name}_{part}", F.avg(f"{side}_{name}.{part}"))
             for name in rouge for part in ROUGE_PARTS
         ]
         p, r, first = F.col(f"{side}_bleu.p"), F.col(f"{side}_bleu.r"), len(pairs)
@@ -243,53 +259,41 @@ def evaluate(
             return F.coalesce(F.sum(f"{side}_{name}"), F.lit(0))
 
         metrics += [
-            (f"bleu_{side}", name, c, True) for name, c in _bleu_values(total, BLEU_MAX_ORDER).items()
-        ]
-        scores.append(F.col(f"{side}_length"))
-        metrics += _spread_metrics(f"length_stats_{side}", "length", f"{side}_length", False)
-        metrics += [
-            (f"length_stats_{side}", f"length_{name}", f(f"{side}_length"), False)
-            for name, f in (("min", F.min), ("max", F.max))
+            (f"bleu_{side}", name, c) for name, c in _bleu_values(total, BLEU_MAX_ORDER).items()
         ]
+        add_lengths(side, made)
         if side in vectors:
             tokens.append(cosine(*[F.col(v) for v in vectors[side]]).alias(f"{side}_cosine"))
             scores.append(F.col(f"{side}_cosine"))
             metrics += _spread_metrics(
-                f"semantic_similarity_{side.split('_')[0]}", "semantic_similarity", f"{side}_cosine", True
+                f"semantic_similarity_{side.split('_')[0]}", "semantic_similarity", f"{side}_cosine"
             )
-    prediction, truth = SIDES[0][1:]
     for name, target in (
         ("keyword_overlap", target_text()), ("title_overlap", concat_text(F.col("job_title"))),
     ):
         overlap = keyword_overlap(F.coalesce(prediction, F.lit("")), target, OVERLAP_STOP_WORDS)
         tokens.append(overlap.alias(name))
         scores.append(F.col(name))
-        metrics += _spread_metrics("keyword_overlap", name, name, False)
-    referenced = (F.coalesce(truth, F.lit("")) != "").alias("referenced")
-
-    rows = results.select(*tokens, referenced)
-    rows = rows.select("*", *longest)
-    rows = rows.select("*", F.explode(F.array(clipped_matches(pairs))).alias("matches"))
-    rows = rows.select("referenced", F.inline(F.array(F.struct(*scores))))
-    one = rows.agg(
-        F.coalesce(F.bool_or("referenced"), F.lit(False)).alias("gate"),
-        *[c.cast("double").alias(f"m{i}") for i, (_, _, c, _) in enumerate(metrics)],
-    )
+        metrics += _spread_metrics("keyword_overlap", name, name)
+
+    rows = results.select(*tokens)
+    if gate:
+        rows = rows.select("*", *longest)
+        rows = rows.select("*", F.explode(F.array(clipped_matches(pairs))).alias("matches"))
+    rows = rows.select(F.inline(F.array(F.struct(*scores))))
+    one = rows.agg(*[c.cast("double").alias(f"m{i}") for i, (_, _, c) in enumerate(metrics)])
     entries = F.array(*[
-        F.struct(
-            F.lit(section).alias("section"), F.lit(metric).alias("metric"),
-            F.col(f"m{i}").alias("value"), (F.col("gate") | F.lit(not gated)).alias("shown"),
-        )
-        for i, (section, metric, _, gated) in enumerate(metrics)
+        F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), F.col(f"m{i}").alias("value"))
+        for i, (section, metric, _) in enumerate(metrics)
     ])
-    return one.select(F.inline(entries)).filter("shown").drop("shown")
+    return one.select(F.inline(entries))
 
 
-def _spread_metrics(section: str, prefix: str, column: str, gated: bool) -> list:
+def _spread_metrics(section: str, prefix: str, column: str) -> list:
     """Mean and population deviation of a score column."""
     return [
-        (section, f"{prefix}_mean", F.avg(column), gated),
-        (section, f"{prefix}_std", F.stddev_pop(column), gated),
+        (section, f"{prefix}_mean", F.avg(column)),
+        (section, f"{prefix}_std", F.stddev_pop(column)),
     ]
 
 

@@ -183,6 +183,15 @@ def test_evaluate_sections_and_gate(spark, results):
         "length_stats_resume", "length_stats_cover_letter", "keyword_overlap"}
 
 
+def test_without_references_their_metrics_are_not_worked_out(spark, results):
+    """Nulls count as no reference; neither subsequences nor n-grams are in the plan."""
+    blank = results.withColumn("ground_truth_resume", F.lit(None).cast("string"))
+    plan = evaluate.evaluate(blank)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lcs_length" not in plan and "array_intersect" not in plan.split("keyword_overlap")[0]
+    one = results.limit(1).union(blank)
+    assert {r["section"] for r in evaluate.evaluate(one).collect()} >= {"rouge_resume", "bleu_resume"}
+
+
 def test_evaluate_with_vectors_and_report(spark, results):
     with_vectors = results.withColumn("v", F.array(F.lit(1.0), F.lit(2.0))).withColumn("w", F.array(F.lit(2.0), F.lit(4.0)))
     metrics = evaluate.evaluate(with_vectors, {"resume": ("v", "w")})
