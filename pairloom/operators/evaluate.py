@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from pairloom.fixed_values import BLEU_MAX_ORDER, OVERLAP_STOP_WORDS
 from pairloom.functions.scores import (
-    bleu_tokens, cosine, f_measure, lcs_length, rouge_tokens,
+    bleu_tokens, cosine, f_measure, lcs_length, ngram_matches, rouge_tokens,
 )
 from pairloom.functions.stem import stem_tokens
-from pairloom.functions.text import clipped_matches, concat_text, keyword_overlap, ngrams
+from pairloom.functions.text import concat_text, keyword_overlap, keyword_overlaps
 
 ROUGE_PARTS = ("precision", "recall", "fmeasure")
 
@@ -38,25 +38,22 @@ def rouge_scores(
 ) -> DataFrame:
     """Per row ``rouge1_precision`` ... ``rougeL_fmeasure``.
 
-    N-gram scores are native. Stemming and the LCS run as Arrow functions on token
+    Tokens are native. Stemming, n-gram matches and the LCS run as Arrow functions on token
     lists inside the same rows.
     """
     orders = list(orders)
     rows = df.select(
         *keep, _rouge_tokens(prediction, stemmed).alias("p"), _rouge_tokens(reference, stemmed).alias("r")
     )
-    names, columns = [f"rouge{n}" for n in orders], [*keep, "p", "r"]
+    names, p, r = [f"rouge{n}" for n in orders], F.col("p"), F.col("r")
+    counts = []
+    if orders:
+        counts.append(ngram_matches(p, r, max(orders)).alias("matches"))
     if longest:
         names.append("rougeL")
-        rows, columns = rows.withColumn("common", lcs_length("p", "r")), [*columns, "common"]
-    p, r = F.col("p"), F.col("r")
-    if orders:
-        # as a generator, here and below: worked out once, whatever uses it
-        counts = clipped_matches([(ngrams(p, n), ngrams(r, n)) for n in orders])
-        rows = rows.select(*columns, F.explode(F.array(counts)).alias("matches"))
-    scores = [
-        f_measure(F.get("matches", F.lit(i)), _grams(p, n), _grams(r, n)) for i, n in enumerate(orders)
-    ]
+        counts.append(lcs_length(p, r).alias("common"))
+    rows = rows.select("*", *counts)
+    scores = [f_measure(F.get("matches", F.lit(n - 1)), _grams(p, n), _grams(r, n)) for n in orders]
     if longest:
         scores.append(f_measure(F.col("common"), F.size(p), F.size(r)))
     scored = rows.select(
@@ -83,11 +80,9 @@ def bleu_counts(
     tokens = F.struct(
         bleu_tokens(F.col(prediction)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
     )
-    p, r, orders = F.col("p"), F.col("r"), range(1, max_order + 1)
-    counts = clipped_matches([(ngrams(p, n), ngrams(r, n)) for n in orders])
-    rows = df.select(F.inline(F.array(tokens))).select(
-        "p", "r", F.explode(F.array(counts)).alias("matches")
-    )
+    p, r = F.col("p"), F.col("r")
+    # as a generator: worked out once, whatever uses it
+    rows = df.select(F.inline(F.array(tokens))).select("p", "r", ngram_matches(p, r, max_order).alias("matches"))
     parts = _bleu_parts(p, r, lambda n: F.get("matches", F.lit(n - 1)), max_order)
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in parts.items()])
 
@@ -210,7 +205,7 @@ def evaluate(
     vectors = vectors or {}
     prediction, truth = SIDES[0][1:]
     gate = not results.filter(F.coalesce(truth, F.lit("")) != "").select(F.lit(1)).limit(1).isEmpty()
-    tokens, longest, scores, pairs = [], [], [], []
+    tokens, counts, scores = [], [], []
     # (section, metric, aggregate of a score column)
     metrics: list[tuple[str, str, Column]] = []
 
@@ -230,28 +225,27 @@ def evaluate(
             continue
         tokens += [
             _rouge_tokens(made, stemmed).alias(f"{side}_p"), _rouge_tokens(reference, stemmed).alias(f"{side}_r"),
-            F.struct(
-                bleu_tokens(F.col(made)).alias("p"), bleu_tokens(F.col(reference)).alias("r")
-            ).alias(f"{side}_bleu"),
+            # columns, not one struct, which the optimizer would work out again for every use of a field
+            bleu_tokens(F.col(made)).alias(f"{side}_bleu_p"), bleu_tokens(F.col(reference)).alias(f"{side}_bleu_r"),
         ]
         p, r = F.col(f"{side}_p"), F.col(f"{side}_r")
-        longest.append(lcs_length(p, r).alias(f"{side}_common"))
-        rouge = {}
-        for n in (1, 2):
-            rouge[f"rouge{n}"] = f_measure(
-                F.get("matches", F.lit(len(pairs))), _grams(p, n), _grams(r, n)
-            )
-            pairs.append((ngrams(p, n), ngrams(r, n)))
+        counts += [
+            lcs_length(p, r).alias(f"{side}_common"), ngram_matches(p, r, 2).alias(f"{side}_rouge_matches"),
+        ]
+        rouge = {
+            f"rouge{n}": f_measure(F.get(f"{side}_rouge_matches", F.lit(n - 1)), _grams(p, n), _grams(r, n))
+            for n in (1, 2)
+        }
         rouge["rougeL"] = f_measure(F.col(f"{side}_common"), F.size(p), F.size(r))
         scores += [c.alias(f"{side}_{name}") for name, c in rouge.items()]
         metrics += [
             (f"rouge_{side}", f"{name}_{part}", F.avg(f"{side}_{name}.{part}"))
             for name in rouge for part in ROUGE_PARTS
         ]
-        p, r, first = F.col(f"{side}_bleu.p"), F.col(f"{side}_bleu.r"), len(pairs)
-        pairs += [(ngrams(p, n), ngrams(r, n)) for n in range(1, BLEU_MAX_ORDER + 1)]
+        p, r = F.col(f"{side}_bleu_p"), F.col(f"{side}_bleu_r")
+        counts.append(ngram_matches(p, r, BLEU_MAX_ORDER).alias(f"{side}_bleu_matches"))
         parts = _bleu_parts(
-            p, r, lambda n, first=first: F.get("matches", F.lit(first + n - 1)), BLEU_MAX_ORDER
+            p, r, lambda n, side=side: F.get(f"{side}_bleu_matches", F.lit(n - 1)), BLEU_MAX_ORDER
         )
         scores += [c.alias(f"{side}_{name}") for name, c in parts.items()]
 
@@ -268,18 +262,16 @@ def evaluate(
             metrics += _spread_metrics(
                 f"semantic_similarity_{side.split('_')[0]}", "semantic_similarity", f"{side}_cosine"
             )
-    for name, target in (
-        ("keyword_overlap", target_text()), ("title_overlap", concat_text(F.col("job_title"))),
-    ):
-        overlap = keyword_overlap(F.coalesce(prediction, F.lit("")), target, OVERLAP_STOP_WORDS)
-        tokens.append(overlap.alias(name))
-        scores.append(F.col(name))
+    targets = {"keyword_overlap": target_text(), "title_overlap": concat_text(F.col("job_title"))}
+    overlaps = keyword_overlaps(F.coalesce(prediction, F.lit("")), targets.values(), OVERLAP_STOP_WORDS)
+    tokens.append(overlaps.alias("overlaps"))
+    for i, name in enumerate(targets):
+        scores.append(F.get("overlaps", F.lit(i)).alias(name))
         metrics += _spread_metrics("keyword_overlap", name, name)
 
     rows = results.select(*tokens)
     if gate:
-        rows = rows.select("*", *longest)
-        rows = rows.select("*", F.explode(F.array(clipped_matches(pairs))).alias("matches"))
+        rows = rows.select("*", *counts)
     rows = rows.select(F.inline(F.array(F.struct(*scores))))
     one = rows.agg(*[c.cast("double").alias(f"m{i}") for i, (_, _, c) in enumerate(metrics)])
     entries = F.array(*[

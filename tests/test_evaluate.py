@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import pytest
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.functions.scores import bleu_tokens, cosine, lcs, rouge_tokens
+from pairloom.functions.scores import bleu_tokens, clipped_counts, cosine, lcs, rouge_tokens
 from pairloom.functions.stem import stem, stem_tokens
 from pairloom.operators import evaluate
 
@@ -55,6 +56,30 @@ def test_lcs_is_exact(a, b):
     assert lcs(a, b) == brute_lcs(a, b)
 
 
+def test_clipped_counts_against_counters():
+    """Null and empty lists, rows that end in what the next one begins with, parts of a batch."""
+    rng = random.Random(5)
+    make = lambda: None if rng.random() < 0.1 else [rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 6, 30]))]
+    made, wanted = [make() for _ in range(200)], [make() for _ in range(200)]
+
+    def want(a, b, n):
+        grams = [Counter(zip(*[(t or [])[i:] for i in range(n)])) for t in (a, b)]
+        return sum((grams[0] & grams[1]).values())
+
+    lists = [pa.array(x, pa.list_(pa.string())) for x in (made, wanted)]
+    rows = [[want(a, b, n) for n in range(1, 5)] for a, b in zip(made, wanted)]
+    assert clipped_counts(*lists, 4).tolist() == rows
+    assert clipped_counts(*[x.slice(7, 50) for x in lists], 4).tolist() == rows[7:57]
+    assert clipped_counts(*[x.slice(0, 0) for x in lists], 4).shape == (0, 4)
+
+
+def test_no_gram_of_a_text_becomes_a_string(results):
+    """Matches come from token numbers: no sorted or joined lists of n-grams beside the tokens."""
+    for rows in (evaluate.evaluate(results, stemmed=False), evaluate.rouge_scores(results, "tailored_resume", "ground_truth_resume")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array" not in plan and "zip_with" not in plan.lower()
+
+
 def python_rouge(pred, ref, stemmed):
     def tokens(text):
         found = re.findall("[a-z0-9]+", text.lower())
