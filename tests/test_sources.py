@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from pairloom import session
@@ -42,6 +43,16 @@ def test_json_documents_round_trip(spark, tmp_path):
     assert sorted(r["id"] for r in got) == list(range(25))
 
 
+def test_json_documents_meet_by_shard_before_lists_begin(spark, tmp_path, monkeypatch):
+    """Lists of many shards on the way to the shuffle would be sorted and spilled."""
+    plans = []
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: plans.append(
+        self._df._jdf.queryExecution().executedPlan().toString()))
+    tables.write_json_documents(spark.range(25).withColumn("shard", F.lit("own")), str(tmp_path / "d"), "id", records=10)
+    assert plans[0].count("Exchange") == 1
+    assert plans[0].rindex("Aggregate") < plans[0].index("Exchange")
+
+
 @pytest.mark.parametrize("form", ["parquet", "json"])
 def test_splits_and_sample(spark, tmp_path, form):
     df = spark.range(10).withColumn("split", F.when(F.col("id") < 8, "train").otherwise("test"))
