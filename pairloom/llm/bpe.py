@@ -29,6 +29,7 @@ from pairloom.llm.batches import map_texts, ragged
 
 MEMORY = "160MB"
 HELD = 1_000_000
+PIECE = 2 << 20
 LONG_PIECE = 48
 LONG_STEPS = 24
 LONG_BATCH = 1 << 17
@@ -83,14 +84,18 @@ SELECT d, string_agg(piece, '' ORDER BY p) AS text FROM tokens JOIN vocabulary U
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a rank file: base64 and number per line."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        return _ranks(lines)
+
+
+def _ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 class Coder:
     """Encodes and decodes with one rank table and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = MEMORY):
-        self.pattern = regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: str = MEMORY, held: int = HELD):
+        self.pattern, self.held = regex.compile(pattern), held
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, merged = [], [], []
         for token, rank in ranks.items():
@@ -187,7 +192,7 @@ class Coder:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        if len(self.number) > HELD:
+        if len(self.number) > self.held:
             self.clear()
         chunked = [[t] if ODD_SPACE.search(t) else CHUNK.findall(t) for t in texts]
         flat = pa.array(itertools.chain.from_iterable(chunked), pa.large_string()).dictionary_encode()
@@ -217,21 +222,9 @@ class Coder:
         return out
 
 
-_coders: dict[tuple, Coder] = {}
-
-
-def _coder(lines: bytes, pattern: str) -> Coder:
-    """One coder per worker process and rank file."""
-    key = (hashlib.sha256(lines).digest(), pattern)
-    if key not in _coders:
-        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines.splitlines())}
-        _coders[key] = Coder(ranks, pattern)
-    return _coders[key]
-
-
 def encode_decode(
     docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text",
-    keep_ids: bool = False,
+    keep_ids: bool = False, piece_bytes: int = PIECE, held: int = HELD,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256, decoded_equal, and
     with ``keep_ids`` the ids.
@@ -239,7 +232,8 @@ def encode_decode(
     The rank file is read on the driver (a fixed vocabulary) and sent with the function. Special
     tokens are ordinary text. A null or empty text has no ids; both digests are then those of empty
     input. Null ids, repeated rows and ids stay as they are; other columns are left out. An empty
-    table gives no rows. Texts of any length are encoded whole; a single pretoken of very many bytes
+    table gives no rows. A task takes texts of ``piece_bytes`` at a time, or one, and remembers about
+    ``held`` chunks. Texts of any length are encoded whole; a single pretoken of very many bytes
     costs time by its length times its steps, never more memory than its own rows times a
     fixed number of steps.
     """
@@ -253,7 +247,8 @@ def encode_decode(
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def make():
-        coder = _coder(lines.value, pattern)
+        # one per task: workers are used again by other steps, which need the memory of its tables
+        coder = Coder(_ranks(lines.value.splitlines()), pattern, held=held)
 
         def work(texts):
             encoded = coder.encode(texts)
@@ -268,4 +263,4 @@ def encode_decode(
 
         return work
 
-    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, most=2 << 20)
+    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, most=piece_bytes)

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairloom.llm.batches import filter_texts, pieces, ragged
+from pairloom.llm.batches import filter_texts, pieces, ragged, settled
 from pairloom.llm.words import PLAIN, WordTable
 
 RADIUS = 11
 SHINGLE = 5
 CHUNK = 1 << 14
-PIECE = 2 << 20
+PIECE = 1 << 20
+# every word of the table has 64 signs
+HELD = 1 << 16
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ class Matcher:
     """Finds the items whose passages stand in documents."""
 
     def __init__(self, index: ItemIndex, threshold: float):
-        self.index, self.threshold, self.words = index, threshold, SignedWords(PLAIN)
+        self.index, self.threshold, self.words = index, threshold, SignedWords(PLAIN, HELD)
 
     def _windows(self, signs: np.ndarray, step: int, classes: list):
         """(start, item offset, item) of windows within the radius, for one stretch of words."""
@@ -265,7 +267,7 @@ def find_leaks(
                         [ids.take(pa.array([g[0] for g in got], pa.int64()))]
                         + [pa.array([g[c] for g in got], arrow.field(c).type) for c in range(1, 5)], schema=arrow)
 
-        made = rows.mapInArrow(run, schema)
+        made = rows.mapInArrow(settled(run), schema)
         out = made if k == 0 else out.union(made)
     return out
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.batches import filter_texts, map_texts, pieces
+from pairloom.llm.batches import filter_texts, map_texts, pieces, settled
 from pairloom.session import stored
 
 # n-grams of a piece of text take some forty times its bytes
@@ -88,7 +88,7 @@ def _count(sample: DataFrame) -> DataFrame:
             "negative": np.append(counts[0, seen], totals[0]).astype(np.int64),
         })
 
-    partial = sample.mapInArrow(run, "gram int, positive long, negative long")
+    partial = sample.mapInArrow(settled(run), "gram int, positive long, negative long")
     return partial.groupBy("gram").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
@@ -156,7 +156,7 @@ def fit(
                     [pa.array([np.unique(f[f >= 0]) for f in found], pa.list_(pa.int32())), labels_.slice(a, b - a)],
                     names=["found", "label"])
 
-    rows = sample.mapInArrow(chosen, "found array<int>, label int").toArrow()
+    rows = sample.mapInArrow(settled(chosen), "found array<int>, label int").toArrow()
     found = [np.asarray(x, np.int32) for x in rows.column("found").to_pylist()]
     w, bias = _regression(found, rows.column("label").to_numpy().astype(float), ratios, penalty, steps)
     return ToxicityModel(hashes, w * ratios, bias)

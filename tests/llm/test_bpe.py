@@ -1,11 +1,13 @@
+import gc
 import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 from pairloom.llm.bpe import Coder, encode_decode, read_ranks
-from tests.llm.conftest import EDGES, by_id
+from tests.llm.conftest import EDGES, by_id, prose
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = read_ranks(PATH)
@@ -44,3 +46,16 @@ def test_rows(documents):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), True, ids))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert by_id(encode_decode(documents([]), PATH, public_tokenizers.PATTERN)) == []
+
+
+def test_workers_keep_no_coder(spark, documents):
+    """Workers are used again; what a coder holds would stay with them while other steps run."""
+    docs = documents((k, " ".join(prose(k, 50))) for k in range(8)).repartition(4)
+    encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
+
+    def coders(batches):
+        n = sum(type(o).__name__ == "Coder" for o in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [n] * batch.num_rows})
+
+    assert {r["n"] for r in docs.select("doc_id").mapInArrow(coders, "n long").collect()} == {0}

@@ -127,3 +127,11 @@ def test_recall_of_altered_passages(n):
         found += bool(matcher.match([" ".join(line)])[0])
     print(f"{n} words: {found} of {tried} found")
     assert found >= 0.95 * tried
+
+
+def test_word_table_of_a_task_stays_small():
+    matcher = Matcher(ItemIndex([1], [ITEMS[9][1]]), 0.8)
+    for k in range(3):
+        matcher.match([" ".join(f"w{k}x{i}" for i in range(70_000)), place(ITEMS[9][1], k, 5)])
+    assert len(matcher.words.signs) <= 1 << 17
+    assert [[f[:2] for f in found] for found in matcher.match(["nothing", ITEMS[9][1]])] == [[], [(0, 1.0)]]
