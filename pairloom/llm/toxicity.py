@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.batches import filter_texts, map_texts, pieces, settled
+from pairloom.llm.batches import filter_texts, map_texts, pieces, release, settled
 from pairloom.session import stored
 
 # n-grams of a piece of text take some forty times its bytes
@@ -92,21 +93,20 @@ def _count(sample: DataFrame) -> DataFrame:
     return partial.groupBy("gram").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
-def _regression(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, penalty: float, steps: int):
-    """Coefficients and bias of an L2-penalised logistic regression, by full-batch Adam."""
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate([*rows, np.empty(0, np.int32)])
-    owner = np.repeat(np.arange(len(rows)), sizes)
+def _regression(sizes: np.ndarray, flat: np.ndarray, labels: np.ndarray, ratios: np.ndarray, penalty: float, steps: int):
+    """Coefficients and bias of an L2-penalised logistic regression, by full-batch Adam. ``flat`` has the
+    features of all rows, one row after the other, ``sizes`` how many each has."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     scale = ratios[flat]
-    w, b, n, k = np.zeros(len(ratios)), 0.0, max(1, len(rows)), len(ratios)
+    w, b, n, k = np.zeros(len(ratios)), 0.0, max(1, len(sizes)), len(ratios)
     moment, spread = np.zeros(k + 1), np.zeros(k + 1)
     share = min(max(labels.mean() if len(labels) else 0.5, 1e-3), 1 - 1e-3)
     b = float(np.log(share / (1 - share)))
     for step in range(1, steps + 1):
-        z = np.bincount(owner, weights=w[flat] * scale, minlength=len(rows)) + b
+        z = np.bincount(owner, weights=w[flat] * scale, minlength=len(sizes)) + b
         error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
         g = np.bincount(flat, weights=error[owner] * scale, minlength=k) / n + penalty * w
-        g = np.append(g, error.mean() if len(rows) else 0.0)
+        g = np.append(g, error.mean() if len(sizes) else 0.0)
         moment = 0.9 * moment + 0.1 * g
         spread = 0.99 * spread + 0.01 * g * g
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
@@ -130,7 +130,7 @@ def fit(
         labelled_sample(docs, labels, learn, id_col=id_col, text_col=text_col, label_col=label_col, max_rows=max_rows)
         .repartition(8), "toxicity-sample",
     )
-    counted = _count(sample).toPandas()
+    counted = _count(sample).toArrow().to_pandas()
     total = counted[counted.gram == -1]
     positive, negative = (int(total[c].sum()) for c in ("positive", "negative"))
     if not positive or not negative:
@@ -157,8 +157,11 @@ def fit(
                     names=["found", "label"])
 
     rows = sample.mapInArrow(settled(chosen), "found array<int>, label int").toArrow()
-    found = [np.asarray(x, np.int32) for x in rows.column("found").to_pylist()]
-    w, bias = _regression(found, rows.column("label").to_numpy().astype(float), ratios, penalty, steps)
+    found = rows.column("found").combine_chunks()
+    sizes, flat = pc.list_value_length(found).to_numpy(zero_copy_only=False), found.flatten().to_numpy()
+    w, bias = _regression(sizes, flat, rows.column("label").to_numpy().astype(float), ratios, penalty, steps)
+    del counted, at, rows, found, flat
+    release()  # the driver goes on for long
     return ToxicityModel(hashes, w * ratios, bias)
 
 

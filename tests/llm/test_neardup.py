@@ -4,7 +4,9 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairloom.llm import neardup
 from pairloom.llm.neardup import _contracted, components, near_duplicates, one_of_each, set_key, shingle_set, signatures
+from pairloom.session import stored
 from tests.llm.conftest import EDGES, by_id, prose
 
 
@@ -115,6 +117,31 @@ def test_components_of_long_chains(spark):
     assert got == {x: root(x) for x in list(parent) if root(x) != x}
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(neardup, "stored", lambda df, purpose: made.append(purpose) or stored(df, purpose))
+    edges = [(b"a", b"b"), (b"c", b"a"), (b"a", b"c"), (b"x", b"y"), (b"b", b"a")]
+    df = spark.createDataFrame(edges, "u binary, v binary").repartition(1)
+    assert sorted((bytes(r["key"]), bytes(r["root"])) for r in components(df).collect()) == [(b"b", b"a"), (b"c", b"a"), (b"y", b"x")]
+    assert made == ["links"]
+
+
+def test_unlike_texts_of_a_bucket_are_not_compared(documents, monkeypatch):
+    compared, rng = [], random.Random(4)
+    real = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, texts, percent: compared.append(pairs.count()) or real(pairs, texts, percent))
+    base, rows = prose(77, 120, 5000), []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(15), 5):
+            words[4 + 8 * at] = f"other{at}"
+        rows.append((k, " ".join(words)))
+    got = by_id(near_duplicates(documents(rows), percent=80))
+    groups = linked_rows(rows, 80)
+    assert [r["component_id"] for r in got] == [min(i for (i, _), g in zip(rows, groups) if g == own) for own in groups]
+    assert compared[1] < 100, compared
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     for n, shared in ((30, 20), (300, 150), (2000, 1800), (5, 5)):

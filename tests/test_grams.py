@@ -30,6 +30,13 @@ def test_bloom_holds_what_its_column_tests(spark):
     assert made.holds([r["t"] for r in want]).tolist() == [r["v"] for r in want]
 
 
+def test_plans_do_not_spell_out_a_bloom_filter(spark):
+    made = Bloom.of(spark.createDataFrame([("a",), ("b",)], "w string"), "w")
+    rows = spark.createDataFrame([("a",), ("c",)], "t string").filter(made.test(F.col("t"), made.column()))
+    assert [r["t"] for r in rows.collect()] == ["a"]
+    assert len(rows._jdf.queryExecution().toString()) < 20_000
+
+
 def test_batch_counts_against_counters(spark):
     among = ["a", "é", "x1"]
     bloom = Bloom.of(spark.createDataFrame([(w,) for w in among], "w string"), "w")
