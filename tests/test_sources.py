@@ -8,6 +8,7 @@ from pairloom import session
 from pairloom.operators import quality
 from pairloom.plans.pairing import clean_and_match
 from pairloom.sources import schemas, tables
+from tests.disk import left_files, shuffle_files
 
 
 def test_csv_keeps_quotes_newlines_and_spaces(spark, tmp_path):
@@ -53,6 +54,34 @@ def test_json_documents_meet_by_shard_before_lists_begin(spark, tmp_path, monkey
     assert plans[0].rindex("Aggregate") < plans[0].index("Exchange")
 
 
+def test_json_documents_leave_no_shuffle_files(spark, tmp_path):
+    """Neither of the frame's own joins nor of gathering, which goes by some of the shards at a time."""
+    rows = spark.range(90).withColumn("none", F.lit(None)).repartition(4, "id").groupBy("id", "none").count()
+    before = shuffle_files(spark)
+    tables.write_json_documents(rows, str(tmp_path / "d"), "id", records=10, compression="gzip")
+    assert not left_files(spark, before)
+    assert len(list((tmp_path / "d").glob("*/*.txt.gz"))) == 9
+    got = tables.read_json_document(spark, str(tmp_path / "d"), "id bigint, none string, count bigint").drop("shard")
+    assert sorted(got.collect()) == [(i, None, 1) for i in range(90)]
+
+
+def test_a_lean_table_leaves_no_shuffle_files_and_can_be_dropped(spark):
+    kept = spark.conf.get(session.CLEANUP)
+    before = shuffle_files(spark)
+    df = session.stored(spark.range(50).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "test", lean=True)
+    assert not left_files(spark, before)
+    assert df.count() == 7 and spark.conf.get(session.CLEANUP) == kept
+    session.dropped(df)
+    assert not df.sparkSession.sparkContext._jvm.java.io.File(df.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_no_other_table_is_dropped(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError):
+        session.dropped(spark.read.parquet(f"{tmp_path}/own"))
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 3
+
+
 @pytest.mark.parametrize("form", ["parquet", "json"])
 def test_splits_and_sample(spark, tmp_path, form):
     df = spark.range(10).withColumn("split", F.when(F.col("id") < 8, "train").otherwise("test"))
